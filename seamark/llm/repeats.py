@@ -13,9 +13,9 @@ suffixes of a corpus can't be sorted at once, so:
    is one bit a string: whether its first occurrence is elsewhere.
 3. Each block marks its bytes.
 
-A block is a partition of the input; it sends each distinct string once, so a string that
-a third of all texts hold costs one entry a block. Texts never leave their block:
-the answers come to them. Strings are compared by 64-bit fingerprints (two different strings
+A block is an equal share of a partition's rows, of a few MB; it sends each distinct string
+once, so a string that a third of all texts hold costs one entry a block. Texts
+never leave their partition: the answers come to them. Strings are compared by 64-bit fingerprints (two different strings
 collide with a probability of about 2^-57 a pair); within a bucket of m of n entries, 32 bits suffice
 in step 1, as a false hit only adds work.
 """
@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,9 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 LENGTH = 100
 #: Bytes hashed in one vectorised step; longer texts overlap by a string's length.
 STEP = 1 << 20
-#: Entries of a bucket to aim at.
+#: Entries of a bucket to aim at, and bytes of text of a block.
 BUCKET = 1_500_000
+BLOCK = 6 << 20
 
 _rng = np.random.default_rng(20240229)
 _LETTERS = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,8 +142,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     spark = docs.sparkSession
     more = [f for f in docs.schema if carry and f.name not in ("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"`{f.name}`" for f in more]).rdd
-    n_blocks = source.getNumPartitions()
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n_parts = source.getNumPartitions()
+    sizes = docs.groupBy(F.spark_partition_id()).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    share = max(1, -(-int(largest) // BLOCK))  # blocks a partition
     n1 = max(1, -(-int(total * len(COVER) / PERIOD) // BUCKET))
     n2 = max(1, -(-int(total / 4) // BUCKET))
     width = (1 << 64) // n1
@@ -155,7 +159,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     def once(flat: np.ndarray) -> np.ndarray:
         return flat[np.concatenate([[True], flat[1:] != flat[:-1]])] if len(flat) else flat
 
-    def send_samples(b: int, rows):
+    def send_samples(part):
+        b, rows = part
         block = _Block(rows)
         flat, _ = sampled(block)
         u = once(flat)
@@ -193,10 +198,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         return pairs.partitionBy(n, lambda j: j)
 
     def with_answers(answers):
-        """(rows of block, answers to it) a partition; texts stay where they are."""
-        one = source.mapPartitionsWithIndex(lambda b, rows: [(b, list(rows))])
-        told = answers.partitionBy(n_blocks, lambda b: b).mapPartitions(lambda it: [[x for _, x in it]])
-        return one.zip(told)
+        """(rows of block, answers to it) a block; texts stay where they are."""
+        return blocks.zip(by_block(answers))
+
+    def split(b: int, rows):
+        own = [[] for _ in range(share)]
+        for i, r in enumerate(rows):
+            own[i % share].append(tuple(r))
+        for i in range(share):
+            yield b * share + i, own[i]
+            own[i] = None
+
+    def by_block(answers):
+        """A list of answers for each block, in the order of split."""
+        def lists(p: int, it):
+            own = [[] for _ in range(share)]
+            for b, x in it:
+                own[b - p * share].append(x)
+            return own
+        return answers.partitionBy(told_parts, lambda b: b // share).mapPartitionsWithIndex(lists)._reserialize(single)
 
     def strings(block: _Block, told) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Document, starts and fingerprints of the strings that may repeat."""
@@ -327,10 +347,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
             row = (doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest())
             yield (*row, *([kept.decode("utf-8", "replace")] if keep_text else []), *rest)
 
-    samples = to_bucket(source.mapPartitionsWithIndex(send_samples), n1)
+    single = BatchedSerializer(CPickleSerializer(), 1)  # one block a record, for zip
+    blocks = source.mapPartitionsWithIndex(split)._reserialize(single)
+    # A session may deal out to more partitions than asked for; zip wants as many on
+    # either side, so empty ones are added.
+    sc = spark.sparkContext
+    told_parts = sc.parallelize([], 1).map(lambda x: (x, x)).partitionBy(n_parts).getNumPartitions()
+    if told_parts > n_parts:
+        blocks = sc.union([blocks, sc.parallelize([], told_parts - n_parts).mapPartitionsWithIndex(lambda p, it: [((n_parts + p) * share + i, []) for i in range(share)])._reserialize(single)])._reserialize(single)
+    samples = to_bucket(blocks.flatMap(send_samples), n1)
     told1 = samples.mapPartitionsWithIndex(lambda j, rows: ((b, (kind, j, x)) for b, (kind, x) in answer_samples(rows)))
     state = with_answers(told1)
     bits = to_bucket(state.flatMap(send_strings), n2).mapPartitions(answer_strings)
-    done = state.zip(bits.partitionBy(n_blocks, lambda b: b).mapPartitions(lambda it: [[x for _, x in it]])).flatMap(finish)
+    # Both lists of answers of a block travel together, so that its text is zipped once.
+    both = by_block(told1).zip(by_block(bits)).map(lambda x: x)._reserialize(single)
+    done = blocks.zip(both).map(lambda x: ((x[0], x[1][0]), x[1][1])).flatMap(finish)
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else ""))
     return spark.createDataFrame(done, T.StructType(schema.fields + more), verifySchema=False)
