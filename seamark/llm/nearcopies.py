@@ -11,7 +11,9 @@ their weighted Jaccard similarity.
 Bands of coordinates are joined. Equal sets are merged first. Then, in rounds, each
 text is compared with one text of its bucket that isn't yet in its class; what is
 still apart in a bucket after that is compared in full, so every pair of a bucket
-is either compared or already in one class. Comparisons are exact.
+is either compared or already in one class. Pairs whose sizes rule the similarity
+out, or whose sketches do (parity bits: for certain; signature bits: by four deviations),
+aren't made; the others are compared exactly.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ from .common import stored
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at 0.8 shares no band with probability 0.0004.
 BANDS, ROWS = 20, 5
+#: Most differing bits of two texts' sketches (two bits a coordinate; at the
+#: threshold 20 of 200 differ on average, with a deviation of 5).
+DIFFERENT_BITS = 40
+#: 64-bit words of the parity sketch: each element flips one of its bits, so two sets' sketches
+#: never differ in more bits than the sets do in elements.
+PARITY_WORDS = 8
 #: Text that one vectorised step takes.
 STEP_CHARS = 6_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -110,6 +118,18 @@ def signatures(key: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _parity(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Parity sketch of each text: (texts, PARITY_WORDS)."""
+    out = np.zeros((len(start) - 1, PARITY_WORDS), np.uint64)
+    own = np.flatnonzero(np.diff(start) > 0)
+    if len(own):
+        place = key % np.uint64(64 * PARITY_WORDS)
+        bit, word = np.uint64(1) << (place % np.uint64(64)), place // np.uint64(64)
+        for w in range(PARITY_WORDS):
+            out[own, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), start[own])
+    return out
+
+
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
     """Ids and texts, a bounded number of characters at a time."""
     for b in batches:
@@ -123,7 +143,8 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, order: int = SHINGLE) -> DataFrame:
-    """id, digest (of the element set; null without elements), keys array<bigint> (one a band)."""
+    """id, digest (of the element set; null without elements), keys array<bigint> (one
+    a band), n (elements), bits array<bigint> (two bits of every coordinate, then the parity sketch)."""
     def run(batches):
         cache = _Hashes()
         for ids, texts in _steps(batches):
@@ -133,8 +154,12 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, order: int =
             for r in range(rows):
                 h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             digest = [hashlib.blake2b(key[start[i]:start[i + 1]].tobytes(), digest_size=16).digest() if start[i] < start[i + 1] else None for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array(list(h.view(np.int64)), pa.list_(pa.int64()))], ["id", "digest", "keys"])
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, keys array<bigint>")
+            two = _mix(sig.reshape(len(texts), -1)) & np.uint64(3)
+            bits = np.stack([(two[:, lo:lo + 31] << (2 * np.arange(two[:, lo:lo + 31].shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64) for lo in range(0, bands * rows, 31)], axis=1)
+            bits = np.concatenate([bits, _parity(key, start)], axis=1)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array(list(h.view(np.int64)), pa.list_(pa.int64())), pa.array(np.diff(start), pa.int64()),
+                                              pa.array(list(bits.view(np.int64)), pa.list_(pa.int64()))], ["id", "digest", "keys", "n", "bits"])
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, keys array<bigint>, n long, bits array<bigint>")
 
 
 def _sets(docs: DataFrame, order: int) -> DataFrame:
@@ -199,30 +224,43 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     # One row per distinct set and band.
     first = reps.select(F.col("digest").alias("_d"), "rep")
     one = sk.join(first, (sk["digest"] == first["_d"]) & (sk["id"] == first["rep"]), "left_semi").dropDuplicates(["digest", "id"])
-    slots = one.select("id", F.posexplode("keys").alias("band", "key"))
-    full = slots.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
+    words = -(-bands * rows // 31)
+    about = ["n", *[f"s{i}" for i in range(words + PARITY_WORDS)]]
+    slots = one.select("id", F.posexplode("keys").alias("band", "key"), "n", *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(words + PARITY_WORDS)])
+
+    def plausible(x: str, y: str):
+        def apart(lo: int, hi: int):
+            return sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(lo, hi)), F.lit(0))
+        most = DIFFERENT_BITS * bands * rows // 100
+        differ = (F.col(f"{x}.n") + F.col(f"{y}.n")) * (1 - similarity) / (1 + similarity) + 1e-6
+        return (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (apart(words, words + PARITY_WORDS) <= differ) & (apart(0, words) <= most)
+
+    full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     slots = stored(slots.join(full.select("band", "key"), ["band", "key"]), "slots")
-    low = slots.groupBy("band", "key").agg(F.min("id").alias("b"))
+    low = slots.groupBy("band", "key").agg(F.min(F.struct("id", *about)).alias("y")).select("band", "key", "y")
     wanted = slots.select("id").distinct()
     ids = wanted.select(F.col("id").alias("_w"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, F.col("id") == F.col("_w"), "left_semi")
     sets = stored(_sets(texts, order).dropDuplicates(["id"]), "sets")
 
     # First round: the least text of any of its buckets.
-    pairs = slots.join(low, ["band", "key"]).filter("id > b").groupBy("id").agg(F.min("b").alias("b")).select(F.col("id").alias("a"), "b")
+    x = slots.select("band", "key", F.struct("id", *about).alias("x"))
+    pairs = x.join(low, ["band", "key"]).filter((F.col("x.id") > F.col("y.id")) & plausible("x", "y"))
+    pairs = stored(pairs.groupBy(F.col("x.id").alias("a")).agg(F.min("y.id").alias("b")), "pairs")
     links = stored(_verified(pairs, sets, similarity), "links")
-    tried, nodes = pairs, stored(wanted, "nodes")
+    tried, nodes = pairs.select("a", "b"), stored(wanted, "nodes")
     labels = classes(nodes, links)
     for k in range(3):
-        mine = slots.join(labels, "id")
+        mine = slots.join(labels, "id").select("band", "key", F.struct("id", "cls", *about).alias("x"))
         if k < 2:  # one other text of the bucket, a different one in each bucket and round
-            pick = mine.groupBy("band", "key").agg(F.min_by(F.struct("id", "cls"), F.xxhash64("id", F.lit(k), "band")).alias("p"))
-            pairs = mine.join(pick, ["band", "key"]).filter("cls <> p.cls").select(F.least("id", "p.id").alias("b"), F.greatest("id", "p.id").alias("a"))
+            pick = mine.groupBy("band", "key").agg(F.min_by("x", F.xxhash64("x.id", F.lit(k), "band")).alias("y"))
+            pairs = mine.join(pick, ["band", "key"]).filter((F.col("x.cls") != F.col("y.cls")) & plausible("x", "y"))
         else:  # all that is still apart
-            apart = mine.groupBy("band", "key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("band", "key")
+            apart = mine.groupBy("band", "key").agg(F.min("x.cls").alias("lo"), F.max("x.cls").alias("hi")).filter("lo <> hi").select("band", "key")
             mine = stored(mine.join(apart, ["band", "key"]), "apart")
-            other = mine.select("band", "key", F.col("id").alias("b"), F.col("cls").alias("_c"))
-            pairs = mine.join(other, ["band", "key"]).filter("id > b and cls <> _c").select(F.col("id").alias("a"), "b")
+            other = mine.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.col("x").alias("y"))
+            pairs = mine.join(other, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.cls") != F.col("y.cls")) & plausible("x", "y"))
+        pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
         pairs = stored(pairs.select("a", "b").distinct(), "pairs")
         more = stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links")
         tried, links = tried.select("a", "b").union(pairs), links.union(more)
