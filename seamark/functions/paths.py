@@ -13,7 +13,7 @@ LANGUAGES = {".java": "java", ".ts": "typescript", ".tsx": "typescript", ".js":
 #: Languages with a structural chunker.
 STRUCTURAL = ("java", "javascript", "typescript")
 #: The default ignore patterns.
-IGNORE = ("node_modules/**", "target/**", "build/**", "dist/**", ".git/**", "vendor/**", "**/*.min.js", "**/*.generated.*", "*.log", "coverage/**", ".idea/**", ".vscode/**")
+IGNORE = ("target/**", "build/**", "dist/**", "out/**", "node_modules/**", ".pnp/**", "**/*.min.js", "**/*.bundle.js", ".git/**", ".idea/**", ".vscode/**", "*.iml")
 
 #: Infixes and suffixes of the path classes, over the lower-cased path.
 TEST_DIRS = ("/test/", "/tests/", "/__tests__/", "/spec/")

@@ -132,8 +132,8 @@ def files_per_language(spark, sf):
 
 _IGN = "(" + " or ".join(
     [f"(rel_path = '{p}' or starts_with(rel_path, '{p}/') or contains(rel_path, '/{p}/') or ends_with(rel_path, '/{p}') or list_contains(string_split(rel_path, '/')[:-2], '{p}'))"
-     for p in ("node_modules", "target", "build", "dist", ".git", "vendor", "coverage", ".idea", ".vscode")]
-    + ["regexp_matches(rel_path, '^[^/]*[^/]*/[^/]*\\.min\\.js$')", "contains(rel_path, '/*.min.js/')", "regexp_matches(rel_path, '^[^/]*[^/]*/[^/]*\\.generated\\.[^/]*$')", "regexp_matches(list_last(string_split(rel_path, '/')), '^[^/]*\\.log$')"]) + ")"
+     for p in ("target", "build", "dist", "out", "node_modules", ".pnp", ".git", ".idea", ".vscode")]
+    + ["regexp_matches(rel_path, '^[^/]*[^/]*/[^/]*\\.min\\.js$')", "contains(rel_path, '/*.min.js/')", "contains(rel_path, '/*.bundle.js/')", "regexp_matches(rel_path, '^[^/]*[^/]*/[^/]*\\.bundle\\.js$')", "regexp_matches(list_last(string_split(rel_path, '/')), '^[^/]*\\.iml$')"]) + ")"
 
 
 @query(f"with {_corpus_sql(TREE)} select doc_id, rel_path, {_IGN} as ignored from corpus")
