@@ -16,7 +16,7 @@ suffixes of a corpus can't be sorted at once, so:
 A block is an equal share of a partition's rows, of a few MB; it sends each distinct string
 once, so a string that a third of all texts hold costs one entry a block. Texts
 never leave their partition: the answers come to them. Strings are compared by 64-bit fingerprints (two different strings
-collide with a probability of about 2^-57 a pair); within a bucket of m of n entries, 32 bits suffice
+collide with an estimated probability of 2^-50 or less a pair); within a bucket of m of n entries, 32 bits suffice
 in step 1, as a false hit only adds work.
 """
 
