@@ -9,9 +9,9 @@ earliest of a coordinate is kept: two texts agree there with the probability of
 their weighted Jaccard similarity.
 
 Bands of coordinates are joined. Equal sets are merged first. Then, in rounds, each
-text is compared with one text of its bucket that isn't yet in its class; what is
-still apart in a bucket after that is compared in full, so every pair of a bucket
-is either compared or already in one class. Pairs whose sizes rule the similarity
+text is compared with a few texts of its bucket that aren't yet in its class; what is
+still apart in a bucket after that is compared in full, each pair once, so every pair
+of a bucket is either compared or already in one class. Pairs whose sizes rule the similarity
 out, or whose sketches do (parity bits: for certain; signature bits: by four deviations),
 aren't made; the others are compared exactly.
 """
@@ -37,8 +37,11 @@ BANDS, ROWS = 20, 5
 #: threshold 20 of 200 differ on average, with a deviation of 5).
 DIFFERENT_BITS = 40
 #: 64-bit words of the parity sketch: each element flips one of its bits, so two sets' sketches
-#: never differ in more bits than the sets do in elements.
-PARITY_WORDS = 8
+#: never differ in more bits than the sets do in elements. The wide one has four times as many
+#: and goes to the last round only; folded it is the narrow one.
+PARITY_WORDS, WIDE_WORDS = 8, 32
+#: Other texts of its bucket that a text is compared with in a round before the last.
+PIVOTS = 4
 #: Text that one vectorised step takes.
 STEP_CHARS = 6_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -119,14 +122,15 @@ def signatures(key: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
 
 
 def _parity(key: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Parity sketch of each text: (texts, PARITY_WORDS)."""
-    out = np.zeros((len(start) - 1, PARITY_WORDS), np.uint64)
-    own = np.flatnonzero(np.diff(start) > 0)
-    if len(own):
-        place = key % np.uint64(64 * PARITY_WORDS)
-        bit, word = np.uint64(1) << (place % np.uint64(64)), place // np.uint64(64)
-        for w in range(PARITY_WORDS):
-            out[own, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), start[own])
+    """Wide parity sketch of each text: (texts, WIDE_WORDS)."""
+    size, n = 64 * WIDE_WORDS, len(start) - 1
+    out = np.zeros((n, WIDE_WORDS), np.uint64)
+    for lo in range(0, n, 2000):
+        hi = min(lo + 2000, n)
+        doc = np.repeat(np.arange(hi - lo), np.diff(start[lo:hi + 1]))
+        place = (key[start[lo]:start[hi]] % np.uint64(size)).astype(np.int64)
+        odd = (np.bincount(doc * size + place, minlength=(hi - lo) * size) & 1).astype(np.uint8)
+        out[lo:hi] = np.packbits(odd.reshape(hi - lo, size), axis=1, bitorder="little").view("<u8")
     return out
 
 
@@ -144,7 +148,8 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, order: int = SHINGLE) -> DataFrame:
     """id, digest (of the element set; null without elements), keys array<bigint> (one
-    a band), n (elements), bits array<bigint> (two bits of every coordinate, then the parity sketch)."""
+    a band), n (elements), bits array<bigint> (two bits of every coordinate, then the parity
+    sketch), wide array<bigint> (the wide parity sketch)."""
     def run(batches):
         cache = _Hashes()
         for ids, texts in _steps(batches):
@@ -156,10 +161,11 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, order: int =
             digest = [hashlib.blake2b(key[start[i]:start[i + 1]].tobytes(), digest_size=16).digest() if start[i] < start[i + 1] else None for i in range(len(texts))]
             two = _mix(sig.reshape(len(texts), -1)) & np.uint64(3)
             bits = np.stack([(two[:, lo:lo + 31] << (2 * np.arange(two[:, lo:lo + 31].shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64) for lo in range(0, bands * rows, 31)], axis=1)
-            bits = np.concatenate([bits, _parity(key, start)], axis=1)
+            wide = _parity(key, start)
+            bits = np.concatenate([bits, np.bitwise_xor.reduce(wide.reshape(len(texts), -1, PARITY_WORDS), axis=1)], axis=1)
             yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array(list(h.view(np.int64)), pa.list_(pa.int64())), pa.array(np.diff(start), pa.int64()),
-                                              pa.array(list(bits.view(np.int64)), pa.list_(pa.int64()))], ["id", "digest", "keys", "n", "bits"])
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, keys array<bigint>, n long, bits array<bigint>")
+                                              pa.array(list(bits.view(np.int64)), pa.list_(pa.int64())), pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], ["id", "digest", "keys", "n", "bits", "wide"])
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, keys array<bigint>, n long, bits array<bigint>, wide array<bigint>")
 
 
 def _sets(docs: DataFrame, order: int) -> DataFrame:
@@ -228,11 +234,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     about = ["n", *[f"s{i}" for i in range(words + PARITY_WORDS)]]
     slots = one.select("id", F.posexplode("keys").alias("band", "key"), "n", *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(words + PARITY_WORDS)])
 
+    differ = (F.col("x.n") + F.col("y.n")) * (1 - similarity) / (1 + similarity) + 1e-6
+
     def plausible(x: str, y: str):
         def apart(lo: int, hi: int):
             return sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(lo, hi)), F.lit(0))
         most = DIFFERENT_BITS * bands * rows // 100
-        differ = (F.col(f"{x}.n") + F.col(f"{y}.n")) * (1 - similarity) / (1 + similarity) + 1e-6
         return (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (apart(words, words + PARITY_WORDS) <= differ) & (apart(0, words) <= most)
 
     full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -251,15 +258,26 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     tried, nodes = pairs.select("a", "b"), stored(wanted, "nodes")
     labels = classes(nodes, links)
     for k in range(3):
-        mine = slots.join(labels, "id").select("band", "key", F.struct("id", "cls", *about).alias("x"))
-        if k < 2:  # one other text of the bucket, a different one in each bucket and round
-            pick = mine.groupBy("band", "key").agg(F.min_by("x", F.xxhash64("x.id", F.lit(k), "band")).alias("y"))
+        # Buckets that hold texts of more than one class; what is one class stays one.
+        mine = slots.join(labels, "id")
+        apart = mine.groupBy("band", "key").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).filter("_lo <> _hi").select("band", "key")
+        slots = stored(mine.join(apart, ["band", "key"]), "apart")
+        mine, slots = slots, slots.drop("cls")
+        if k < 2:  # a few texts of the bucket, different ones in each bucket and round
+            mine = mine.select("band", "key", F.struct("id", "cls", *about).alias("x"))
+            pick = mine.groupBy("band", "key").agg(F.array(*[F.min_by("x", F.xxhash64("x.id", F.lit(k * PIVOTS + i), "band")) for i in range(PIVOTS)]).alias("y"))
+            pick = pick.select("band", "key", F.explode(F.array_distinct("y")).alias("y"))
             pairs = mine.join(pick, ["band", "key"]).filter((F.col("x.cls") != F.col("y.cls")) & plausible("x", "y"))
-        else:  # all that is still apart
-            apart = mine.groupBy("band", "key").agg(F.min("x.cls").alias("lo"), F.max("x.cls").alias("hi")).filter("lo <> hi").select("band", "key")
-            mine = stored(mine.join(apart, ["band", "key"]), "apart")
+        else:  # all that is still apart, each pair in the first bucket that it shares
+            whole = sk.join(mine.select(F.col("id").alias("_w")).distinct(), F.col("id") == F.col("_w"), "left_semi").dropDuplicates(["id", "digest"])
+            whole = whole.select(F.col("id").alias("_w"), "keys", "wide")
+            mine = mine.join(whole, (F.col("id") == F.col("_w")) & (F.expr("get(keys, band)") == F.col("key")))
+            mine = mine.select("band", "key", F.struct("id", "cls", *about, "keys", "wide").alias("x"))
             other = mine.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.col("x").alias("y"))
-            pairs = mine.join(other, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.cls") != F.col("y.cls")) & plausible("x", "y"))
+            bits = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
+            shared = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True)
+            pairs = mine.join(other, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.cls") != F.col("y.cls"))
+                              & plausible("x", "y") & (bits <= differ) & (shared == F.col("band") + 1))
         pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
         pairs = stored(pairs.select("a", "b").distinct(), "pairs")
         more = stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links")
