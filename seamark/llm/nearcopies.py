@@ -38,7 +38,7 @@ BANDS, ROWS = 20, 5
 DIFFERENT_BITS = 40
 #: 64-bit words of the parity sketch: each element flips one of its bits, so two sets' sketches
 #: never differ in more bits than the sets do in elements. The wide one has four times as many
-#: and goes to the last round only; folded it is the narrow one.
+#: and goes to the later rounds only; folded it is the narrow one.
 PARITY_WORDS, WIDE_WORDS = 8, 32
 #: Other texts of its bucket that a text is compared with in a round before the last.
 PIVOTS = 4
@@ -242,6 +242,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         most = DIFFERENT_BITS * bands * rows // 100
         return (F.least(f"{x}.n", f"{y}.n") >= similarity * F.greatest(f"{x}.n", f"{y}.n")) & (apart(words, words + PARITY_WORDS) <= differ) & (apart(0, words) <= most)
 
+    bits = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
     full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     slots = stored(slots.join(full.select("band", "key"), ["band", "key"]), "slots")
     low = slots.groupBy("band", "key").agg(F.min(F.struct("id", *about)).alias("y")).select("band", "key", "y")
@@ -261,20 +262,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         # Buckets that hold texts of more than one class; what is one class stays one.
         mine = slots.join(labels, "id")
         apart = mine.groupBy("band", "key").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).filter("_lo <> _hi").select("band", "key")
-        slots = stored(mine.join(apart, ["band", "key"]), "apart")
+        mine = mine.join(apart, ["band", "key"])
+        if k == 0:  # what is left gets the keys of all bands and the wide sketch
+            whole = sk.join(mine.select(F.col("id").alias("_w")).distinct(), F.col("id") == F.col("_w"), "left_semi").dropDuplicates(["id", "digest"])
+            whole = whole.select(F.col("id").alias("_w"), "keys", "wide")
+            mine = mine.join(whole, (F.col("id") == F.col("_w")) & (F.expr("get(keys, band)") == F.col("key"))).drop("_w")
+        slots = stored(mine, "apart")
         mine, slots = slots, slots.drop("cls")
         if k < 2:  # a few texts of the bucket, different ones in each bucket and round
-            mine = mine.select("band", "key", F.struct("id", "cls", *about).alias("x"))
+            mine = mine.select("band", "key", F.struct("id", "cls", *about, "wide").alias("x"))
             pick = mine.groupBy("band", "key").agg(F.array(*[F.min_by("x", F.xxhash64("x.id", F.lit(k * PIVOTS + i), "band")) for i in range(PIVOTS)]).alias("y"))
             pick = pick.select("band", "key", F.explode(F.array_distinct("y")).alias("y"))
-            pairs = mine.join(pick, ["band", "key"]).filter((F.col("x.cls") != F.col("y.cls")) & plausible("x", "y"))
+            pairs = mine.join(pick, ["band", "key"]).filter((F.col("x.cls") != F.col("y.cls")) & plausible("x", "y") & (bits <= differ))
         else:  # all that is still apart, each pair in the first bucket that it shares
-            whole = sk.join(mine.select(F.col("id").alias("_w")).distinct(), F.col("id") == F.col("_w"), "left_semi").dropDuplicates(["id", "digest"])
-            whole = whole.select(F.col("id").alias("_w"), "keys", "wide")
-            mine = mine.join(whole, (F.col("id") == F.col("_w")) & (F.expr("get(keys, band)") == F.col("key")))
             mine = mine.select("band", "key", F.struct("id", "cls", *about, "keys", "wide").alias("x"))
             other = mine.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.col("x").alias("y"))
-            bits = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
             shared = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True)
             pairs = mine.join(other, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.cls") != F.col("y.cls"))
                               & plausible("x", "y") & (bits <= differ) & (shared == F.col("band") + 1))
