@@ -216,6 +216,18 @@ def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after the classes that links join have become one: components of the
+    classes, over the new links alone."""
+    def of(x):
+        return labels.select(F.col("id").alias(x), F.col("cls").alias(f"_{x}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    edges = stored(edges, "joined")
+    new = classes(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), edges)
+    new = new.select(F.col("id").alias("cls"), F.col("cls").alias("_new"))
+    return stored(labels.join(new, "cls", "left").select("id", F.coalesce("_new", "cls").alias("cls")), "labels")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, order: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, n_links for every row of docs; n_links: similar texts found
     for its text, at least one wherever its class has more than one text.
@@ -256,8 +268,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     pairs = x.join(low, ["band", "key"]).filter((F.col("x.id") > F.col("y.id")) & plausible("x", "y"))
     pairs = stored(pairs.groupBy(F.col("x.id").alias("a")).agg(F.min("y.id").alias("b")), "pairs")
     links = stored(_verified(pairs, sets, similarity), "links")
-    tried, nodes = pairs.select("a", "b"), stored(wanted, "nodes")
-    labels = classes(nodes, links)
+    tried = pairs.select("a", "b")
+    labels = classes(stored(wanted, "nodes"), links)
     for k in range(3):
         # Buckets that hold texts of more than one class; what is one class stays one.
         mine = slots.join(labels, "id")
@@ -284,7 +296,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         pairs = stored(pairs.select("a", "b").distinct(), "pairs")
         more = stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links")
         tried, links = tried.select("a", "b").union(pairs), links.union(more)
-        labels = classes(nodes, links)
+        labels = _merged(labels, more)
     n = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     # Back to the documents: a digest's rows take its representative's class.
     by_set = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(n.withColumnRenamed("id", "rep"), "rep", "left")
