@@ -43,7 +43,9 @@ PARITY_WORDS, WIDE_WORDS = 8, 32
 #: Other texts of its bucket that a text is compared with in a round before the last.
 PIVOTS = 4
 #: Text that one vectorised step takes.
-STEP_CHARS = 6_000_000
+STEP_CHARS = 2_000_000
+#: Word hashes that a worker keeps from one step to the next.
+CACHED_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -66,7 +68,7 @@ def elements(texts: list[str | None], order: int = SHINGLE, cache: dict | None =
     words is one shingle, one of none has no element.
     """
     cache = _Hashes() if cache is None else cache
-    if len(cache) > 2_000_000:
+    if len(cache) > CACHED_WORDS:
         cache.clear()
     hs, sizes = [], []
     for t in texts:
