@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +60,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: What a Python worker keeps for its next task: one thing at a time.
+_KEPT: dict = {}
+
+
+def kept(name, build: Callable):
+    """build(), made once a worker; whatever was kept under another name goes."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
+def lean(rows: Iterator, keep: bool = False) -> Iterator:
+    """rows; a worker waiting for its next task then holds no freed memory, and, unless
+    told to, nothing kept by an earlier task while it works."""
+    if not keep:
+        _KEPT.clear()
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc only
+            trim(0)
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str, n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, cut where the column's texts reach that many bytes."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        lo = total = 0
+        for i, n in enumerate(sizes):
+            total += n
+            if total >= n_bytes or i == len(sizes) - 1:
+                yield b.slice(lo, i + 1 - lo)
+                lo, total = i + 1, 0

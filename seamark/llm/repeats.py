@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: A perfect difference set: every difference modulo 57 occurs once.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 LENGTH = 100
-#: Bytes hashed in one vectorised step; longer texts overlap by a string's length.
-STEP = 1 << 20
+#: Bytes hashed in one vectorised step, few enough for a processor's cache; longer texts overlap by a string's length.
+STEP = 1 << 17
 #: Entries of a bucket to aim at, and bytes of text of a block.
 BUCKET = 1_500_000
 BLOCK = 6 << 20
@@ -262,14 +264,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
 
     def all_strings(block: _Block, told):
         """Fingerprints once each with the first document and place, sorted."""
-        docs_, at, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        # One column after the other, so that only one of them is there twice.
+        parts: list[list] = [[np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]]
         for k, p, h in strings(block, told):
-            docs_.append(np.full(len(p), k, np.int32))
-            at.append(p)
-            keys.append(h)
-        docs_, at, keys = map(np.concatenate, (docs_, at, keys))
-        by = np.argsort(keys, kind="stable")
-        docs_, at, keys = docs_[by], at[by], keys[by]
+            for column, x in zip(parts, (np.full(len(p), k, np.int32), p.astype(np.int32), h)):
+                column.append(x)
+        keys = np.concatenate(parts.pop())
+        by = np.argsort(keys, kind="stable").astype(np.uint32)
+        keys = keys[by]
+        at = np.concatenate(parts.pop())[by]
+        docs_ = np.concatenate(parts.pop())[by]
         new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
         return docs_, at, keys, new
 
@@ -303,14 +307,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         keys = np.concatenate([g[2] for g in got])
         ids = np.concatenate([g[3] for g in got])
         block = np.repeat(np.array([g[1] for g in got], np.int32), [len(g[2]) for g in got])
+        sizes = [(j, b, len(k)) for j, b, k, _ in got]
+        got.clear()
         by = np.lexsort((block, ids, keys))
-        new = np.concatenate([[True], keys[by][1:] != keys[by][:-1]])
+        keys = keys[by]
         later = np.ones(len(keys), bool)
-        later[by[new]] = False
+        later[by[np.concatenate([[True], keys[1:] != keys[:-1]])]] = False
         lo = 0
-        for j, b, k, _ in got:
-            yield b, (j, zlib.compress(np.packbits(later[lo:lo + len(k)]).tobytes(), 1), len(k))
-            lo += len(k)
+        for j, b, n in sizes:
+            yield b, (j, zlib.compress(np.packbits(later[lo:lo + n]).tobytes(), 1), n)
+            lo += n
 
     def finish(part):
         ((b, rows), told), bits = part
@@ -355,12 +361,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     told_parts = sc.parallelize([], 1).map(lambda x: (x, x)).partitionBy(n_parts).getNumPartitions()
     if told_parts > n_parts:
         blocks = sc.union([blocks, sc.parallelize([], told_parts - n_parts).mapPartitionsWithIndex(lambda p, it: [((n_parts + p) * share + i, []) for i in range(share)])._reserialize(single)])._reserialize(single)
-    samples = to_bucket(blocks.flatMap(send_samples), n1)
+    samples = to_bucket(blocks.flatMap(send_samples).mapPartitions(lean), n1)
     told1 = samples.mapPartitionsWithIndex(lambda j, rows: ((b, (kind, j, x)) for b, (kind, x) in answer_samples(rows)))
     state = with_answers(told1)
-    bits = to_bucket(state.flatMap(send_strings), n2).mapPartitions(answer_strings)
+    bits = to_bucket(state.flatMap(send_strings).mapPartitions(lean), n2).mapPartitions(answer_strings).mapPartitions(lean)
     # Both lists of answers of a block travel together, so that its text is zipped once.
     both = by_block(told1).zip(by_block(bits)).map(lambda x: x)._reserialize(single)
-    done = blocks.zip(both).map(lambda x: ((x[0], x[1][0]), x[1][1])).flatMap(finish)
+    done = blocks.zip(both).map(lambda x: ((x[0], x[1][0]), x[1][1])).flatMap(finish).mapPartitions(lean)
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else ""))
     return spark.createDataFrame(done, T.StructType(schema.fields + more), verifySchema=False)
