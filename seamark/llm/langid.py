@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, lean, steps
+
 #: The sample: at most so many documents a language, cut to so many characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 60_000
 #: Codes of the alphabet: 0 is anything but a letter, the last one any letter not in the sample's most frequent.
 ALPHABET = 64
 #: Characters that are parsed in one go; a longer text is parsed in pieces whose phrases are summed.
 PIECE = 4096
+#: Bytes of text that one vectorised step takes.
+STEP_BYTES = 6_000_000
 _FAIL = np.int32(1 << 30)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -106,7 +110,7 @@ class Model:
         for lo in range(0, len(order), 8192):
             own = order[lo:lo + 8192]
             n = sizes[own]
-            grid = np.zeros((int(n[0]), len(own)), np.int32)
+            grid = np.zeros((int(n[0]), len(own)), np.uint8)
             for k, j in enumerate(own):
                 grid[: n[k], k] = pieces[j]
             active = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")
@@ -143,9 +147,6 @@ class Model:
         return lang, score
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def held_out():
     """The documents that training never sees: crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -182,14 +183,11 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _MODELS.get(name)
-        for b in batches:
-            if model is None:
-                _MODELS.clear()
-                model = _MODELS[name] = Model(shared.value)
+        for b in steps(batches, "text", STEP_BYTES):
+            model = kept(name, lambda: Model(shared.value))
             lang, score = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     d = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", lang_pred string, score double"
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(lambda batches: lean(run(batches), keep=True), schema)
