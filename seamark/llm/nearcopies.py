@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, steps, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at 0.8 shares no band with probability 0.0004.
@@ -42,8 +42,8 @@ DIFFERENT_BITS = 40
 PARITY_WORDS, WIDE_WORDS = 8, 32
 #: Other texts of its bucket that a text is compared with in a round before the last.
 PIVOTS = 4
-#: Text that one vectorised step takes.
-STEP_CHARS = 2_000_000
+#: Bytes of text that one vectorised step takes.
+STEP_BYTES = 2_000_000
 #: Word hashes that a worker keeps from one step to the next.
 CACHED_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
@@ -136,25 +136,14 @@ def _parity(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
-    """Ids and texts, a bounded number of characters at a time."""
-    for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        lo = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= STEP_CHARS or i == len(texts) - 1:
-                yield ids.slice(lo, i + 1 - lo), texts[lo:i + 1]
-                lo, size = i + 1, 0
-
-
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, order: int = SHINGLE) -> DataFrame:
     """id, digest (of the element set; null without elements), keys array<bigint> (one
     a band), n (elements), bits array<bigint> (two bits of every coordinate, then the parity
     sketch), wide array<bigint> (the wide parity sketch)."""
     def run(batches):
         cache = _Hashes()
-        for ids, texts in _steps(batches):
+        for step in steps(batches, "text", STEP_BYTES):
+            ids, texts = step.column(0), step.column(1).to_pylist()
             key, start = elements(texts, order, cache)
             sig = signatures(key, start, bands * rows).view(np.uint64).reshape(len(texts), bands, rows)
             h = np.zeros((len(texts), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
@@ -167,18 +156,19 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, order: int =
             bits = np.concatenate([bits, np.bitwise_xor.reduce(wide.reshape(len(texts), -1, PARITY_WORDS), axis=1)], axis=1)
             yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array(list(h.view(np.int64)), pa.list_(pa.int64())), pa.array(np.diff(start), pa.int64()),
                                               pa.array(list(bits.view(np.int64)), pa.list_(pa.int64())), pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], ["id", "digest", "keys", "n", "bits", "wide"])
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, keys array<bigint>, n long, bits array<bigint>, wide array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lambda batches: lean(run(batches)), "id long, digest binary, keys array<bigint>, n long, bits array<bigint>, wide array<bigint>")
 
 
 def _sets(docs: DataFrame, order: int) -> DataFrame:
     """id, items: the element set as sorted 32-bit hashes in bytes."""
     def run(batches):
         cache = _Hashes()
-        for ids, texts in _steps(batches):
+        for step in steps(batches, "text", STEP_BYTES):
+            ids, texts = step.column(0), step.column(1).to_pylist()
             key, start = elements(texts, order, cache)
             small = (key >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(small[a:b]).tobytes() for a, b in zip(start[:-1], start[1:])], pa.binary())], ["id", "items"])
-    return docs.select("id", "text").mapInArrow(run, "id long, items binary")
+    return docs.select("id", "text").mapInArrow(lambda batches: lean(run(batches)), "id long, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -188,15 +178,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     def run(batches):
         for t in batches:
             keep = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            for x, y in zip(t.column(2), t.column(3)):  # views of the batch, no copies
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 if min(len(x), len(y)) < similarity * max(len(x), len(y)):
                     keep.append(False)
                     continue
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep))
-    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return p.select("a", "b", "x", "y").mapInArrow(lambda batches: lean(run(batches)), "a long, b long")
 
 
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
