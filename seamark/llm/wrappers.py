@@ -37,6 +37,8 @@ ASIDE = frozenset("nav header footer aside form button menu dialog head".split()
 MARKS = frozenset("ad ads advert advertisement banner sidebar comment comments reply replies respond cookie cookies consent notice notices newsletter subscribe promo "
                   "sponsor sponsored related share social breadcrumb breadcrumbs menu nav navbar navigation header footer masthead pagination popup modal toolbar widget".split())
 MAIN = frozenset("article main".split())
+#: Elements that hold a whole page: a mark on them says what the page has, not what it is. An article in an article keeps its mark.
+WHOLE = frozenset("html body article main".split())
 #: Elements that an opening tag of the same kind ends.
 SELF_ENDING = frozenset("p li dt dd tr td th".split())
 #: A p is also ended by these.
@@ -115,7 +117,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     close(len(stack) - 1)
                 flush()
                 in_link = 0
-                stack.append((tag, _name(tag, m[3])))
+                whole = tag in WHOLE and not (tag == "article" and any(t == tag for t, _ in stack))
+                stack.append((tag, tag if whole else _name(tag, m[3])))
     flush()
     return out
 
@@ -247,16 +250,21 @@ class Wrapper:
     def load(s: str) -> Wrapper:
         return Wrapper(*json.loads(s))
 
-    def main_slots(self) -> frozenset[str]:
-        """Slots of main text: not in an element set aside; if any lies in an
-        article or main element, only those, else those that vary, of running text."""
+    def main_slots(self, one_site: bool = True) -> tuple[frozenset[str], frozenset[str]]:
+        """Slots of main text, none in an element set aside: those in an article or main
+        element, and those of running text that vary. Pages of no ``one_site`` share no template, so there all vary."""
         def parts(p):
             return [x.partition(".") for x in p.split("/")]
         fit = [p for p in self.slots if not any(tag in ASIDE or mark for tag, _, mark in parts(p))]
-        inner = [p for p in fit if any(tag in MAIN for tag, _, _ in parts(p))]
-        if inner:
-            return frozenset(inner)
-        return frozenset(p for p in fit if 2 * self.slots[p][3] <= self.slots[p][2] and (self.slots[p][0] < 3 or self.slots[p][4] is None))
+        inner = frozenset(p for p in fit if any(tag in MAIN for tag, _, _ in parts(p)))
+        return inner, frozenset(p for p in fit if 2 * self.slots[p][3] <= self.slots[p][2] and (not one_site or self.slots[p][0] < 3 or self.slots[p][4] is None))
+
+
+def main_blocks(found: list, slots: tuple[frozenset[str], frozenset[str]]) -> list[str]:
+    """Texts of a page's main blocks: those in its article or main elements, in a page without such text those of the slots that vary."""
+    paths = ["/".join(path) for path, _, _ in found]
+    own = slots[0] if any(p in slots[0] for p in paths) else slots[1]
+    return [text for p, (_, text, _) in zip(paths, found) if p in own]
 
 
 def _shape(w: list) -> str:
@@ -308,16 +316,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     d = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(side, F.col("host") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset] = {}
+        known: dict = {}
         for b in batches:
             text = []
-            for page, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for page, w, host in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if len(known) > 5000:
                     known.clear()
-                if w not in known:
-                    known[w] = Wrapper.load(w).main_slots() if w else frozenset()
-                text.append(" ".join(t for path, t, _ in blocks(page) if "/".join(path) in known[w]))
+                if (w, host == "") not in known:
+                    known[w, host == ""] = Wrapper.load(w).main_slots(host != "") if w else (frozenset(), frozenset())
+                text.append(" ".join(main_blocks(blocks(page), known[w, host == ""])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    d = d.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper")
+    d = d.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper", "host")
     return d.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -202,6 +202,16 @@ def test_wrappers(spark):
     assert ["+", ["li", ["#", "ul/li", None], "/li"]] in w or any(isinstance(x, list) for x in w)
 
 
+def test_wrappers_whole_pages(spark):
+    art = "<html><body><article><p>Article {0}</p></article></body></html>"
+    div = "<html><body class='single no-sidebar'><div><p>Plain {0}</p></div></body></html>"
+    marked = "<html><body><main class=has-comments><article id=related-1><p>Marked {0}</p><article class=comment><p>Nice</p></article></article></main></body></html>"
+    pages = [(i, "http://two.org/", (art, div, marked)[i % 3].format(i)) for i in range(9)]
+    pages += [(9, None, art.format(9)), *((i, None, "<p>The same") for i in (10, 11, 12)), (13, "nonsense", "<p>Other")]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{('Article', 'Plain', 'Marked')[i % 3]} {i}" for i in range(9)} | {9: "Article 9", 10: "The same", 11: "The same", 12: "The same", 13: "Other"}
+
+
 def test_urls(spark):
     u = ["http://A.Example.COM/en/1?x", "https://example.com/en/7", "http://m.example.net/de/1", "http://example.net/de/8#t", "http://x.org/fr/1", None, "no scheme", "http://x.org", "http://notcom/en/"]
     d = spark.createDataFrame([(i, x, None) for i, x in enumerate(u)], "page_id long, url string, html string")
