@@ -47,41 +47,48 @@ def knn(chunks: DataFrame, query: list[float], k: int = 5, metric: str = "cosine
 def knn_many(chunks: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "id", most_queries: int = 10_000) -> DataFrame:
     """query_id, rank, id, semantic_score: the k nearest of every query (query_id, embedding).
 
-    The stated queries are broadcast as one matrix (their number is checked); each batch of rows is
-    multiplied with it and keeps k rows a query, so a task sends k rows a query and batch
-    at most, which a window then merges.
+    Any number of queries is answered: they are read in blocks of ``most_queries``, each block is broadcast as
+    a matrix and takes its own pass over chunks; each batch of rows is multiplied with it and keeps k rows a
+    query, so a task sends k rows a query and batch at most, which one window then merges.
     """
+    from functools import reduce
+    from itertools import batched
+
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", "embedding").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in blocks")
-    if not rows:
-        return chunks.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("semantic_score")).limit(0)
-    ids = np.array([r[0] for r in rows], np.int64)
-    m = np.array([r[1] for r in rows], np.float64)
     unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
-    shared = chunks.sparkSession.sparkContext.broadcast(unit(m) if metric == "cosine" else m)
-
-    def run(batches):
-        q = shared.value
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            x = np.array(b.column(1).to_pylist(), np.float64)
-            if not len(x):
-                continue
-            if metric == "euclid":
-                s = 1 / (1 + np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T)))
-            else:
-                s = q @ (unit(x) if metric == "cosine" else x).T
-            for qi in range(len(q)):
-                best = np.lexsort((own, -s[qi]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[qi])), pa.array(own[best]), pa.array(s[qi][best])], ["query_id", "id", "semantic_score"])
-
-    found = chunks.filter(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding").mapInArrow(run, "query_id long, id long, semantic_score double")
+    d = chunks.filter(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding")
+
+    def near(rows):
+        ids = np.array([r[0] for r in rows], np.int64)
+        m = np.array([r[1] for r in rows], np.float64)
+        shared = chunks.sparkSession.sparkContext.broadcast(unit(m) if metric == "cosine" else m)
+
+        def run(batches):
+            for b in batches:
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                x = np.array(b.column(1).to_pylist(), np.float64)
+                if not len(x):
+                    continue
+                if metric == "cosine":
+                    x = unit(x)
+                for lo in range(0, len(ids), 1000):  # scores of a whole block and batch would take 800 MB
+                    q = shared.value[lo:lo + 1000]
+                    s = q @ x.T
+                    if metric == "euclid":
+                        s = 1 / (1 + np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * s)))
+                    for qi in range(len(q)):
+                        best = np.lexsort((own, -s[qi]))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[lo + qi])), pa.array(own[best]), pa.array(s[qi][best])], ["query_id", "id", "semantic_score"])
+
+        return d.mapInArrow(run, "query_id long, id long, semantic_score double")
+
+    parts = [near(rows) for rows in batched(queries.select("query_id", "embedding").toLocalIterator(), most_queries)]
+    if not parts:
+        return chunks.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("semantic_score")).limit(0)
     order = W.partitionBy("query_id").orderBy(F.desc("semantic_score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "semantic_score")
+    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "semantic_score")
 
 
 def hybrid(candidates: DataFrame, query: str, r: Ranking = Ranking()) -> DataFrame:

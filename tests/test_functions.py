@@ -40,6 +40,15 @@ def test_hybrid(spark):
         search.hybrid(d, " ")
 
 
+def test_knn_many_takes_any_number_of_queries(spark):
+    d = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)], "id long, embedding array<double>")
+    q = d.select(F.col("id").alias("query_id"), "embedding")
+    for metric in ("cosine", "dot", "euclid"):
+        whole, blocks = ([tuple(r) for r in search.knn_many(d, q, 3, metric, most_queries=n).orderBy("query_id", "rank").collect()] for n in (10_000, 7))
+        assert [r[:3] for r in whole] == [r[:3] for r in blocks] and len(blocks) == 120
+    assert search.knn_many(d, q.limit(0), 3).count() == 0
+
+
 def test_vectors(spark):
     for v, n in (([3.0, 4.0], 1), ([0.0, 0.0, 0.0], 0), ([-3.0, -4.0], 1)):
         u = one(spark, vectors.normalise(F.col("v")), v=v)
