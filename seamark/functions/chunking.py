@@ -74,11 +74,11 @@ def overlap_lines(lines: list[str], budget: int) -> int:
 
 
 def token_chunks(content: str, language: str | None, limits: Limits | None = None, compat: bool = False) -> list[Piece]:
-    """Chunks of at most max_tokens tokens (a single longer line stays whole), each beginning with an overlap.
+    """Chunks of at most max_tokens tokens (a single longer line has no other in its chunk), each beginning with an overlap.
 
     When the budget is reached, a boundary line within the next ten lines ends the chunk
-    there. ``compat``: start lines of later chunks are one too small and a last chunk of nothing
-    but overlap is kept.
+    there. A chunk of more than CHUNK_BYTES characters is split. ``compat``: it is cut there instead, start
+    lines of later chunks are one too small and a last chunk of nothing but overlap is kept.
     """
     if not content.strip():
         return []
@@ -87,13 +87,17 @@ def token_chunks(content: str, language: str | None, limits: Limits | None = Non
     bound = re.compile(boundary_pattern(language, compat))
     tokens = [count_tokens(x) for x in lines]
     out: list[Piece] = []
-    start, held, used, fresh, i = 0, 0, 0, 0, 0
+    start, back, held, used, fresh, i = 0, 0, 0, 0, 0, 0
 
     def emit(stop: int) -> None:
         body = "\n".join(lines[start:stop])
         if body.strip():
             first = start + (0 if compat and out else 1)
-            out.append(Piece(first, first + stop - start - 1, body[:CHUNK_BYTES]))
+            if compat or len(body) <= CHUNK_BYTES:
+                out.append(Piece(first, first + stop - start - 1, body[:CHUNK_BYTES]))
+            else:
+                # Pieces of the overlap alone are in the chunk before.
+                out.extend(Piece(*p) for p in split_large(lines[start:stop], first) if p[2].strip() and p[1] > start + back)
 
     while i < len(lines):
         if held and used + tokens[i] > limits.max_tokens and fresh:
@@ -113,8 +117,8 @@ def token_chunks(content: str, language: str | None, limits: Limits | None = Non
 
 
 def split_large(lines: list[str], first_line: int, max_bytes: int = CHUNK_BYTES) -> list[tuple[int, int, str]]:
-    """start, end, text of pieces of at most max_bytes bytes (a longer line: cut) with
-    an overlap of a tenth of the lines (1 to 10). No line is lost."""
+    """start, end, text of pieces of at most max_bytes bytes (a longer line: cut between characters,
+    at least one a piece) with an overlap of a tenth of the lines (1 to 10). Nothing is lost."""
     overlap = min(10, max(1, len(lines) // 10))
     size = [len(x.encode("utf-8", "surrogatepass")) + 1 for x in lines]
     out, lo, n = [], 0, len(lines)
@@ -126,8 +130,17 @@ def split_large(lines: list[str], first_line: int, max_bytes: int = CHUNK_BYTES)
         text = "\n".join(lines[lo:hi])
         if len(text.encode("utf-8", "surrogatepass")) > max_bytes:
             raw = text.encode("utf-8", "surrogatepass")
-            for k in range(0, len(raw), max_bytes):
-                out.append((first_line + lo, first_line + hi - 1, raw[k:k + max_bytes].decode("utf-8", "ignore")))
+            k = 0
+            while k < len(raw):
+                stop = k + max_bytes
+                while stop > k and stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                    stop -= 1
+                if stop == k:  # a character of more than max_bytes
+                    stop += 1
+                    while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                        stop += 1
+                out.append((first_line + lo, first_line + hi - 1, raw[k:stop].decode("utf-8", "surrogatepass")))
+                k = stop
         else:
             out.append((first_line + lo, first_line + hi - 1, text))
         if hi >= n:

@@ -75,6 +75,17 @@ def test_token_chunks_cover(n, budget, overlap):
     assert chunking.token_chunks(" \n ", "go") == []
 
 
+def test_token_chunks_keep_long_lines_whole():
+    long = "".join(f"w{i}é€ " for i in range(3000))
+    lines = ["a short one", long, "", *["x" * 900 + f" {i}" for i in range(9)], "the end"]
+    got = chunking.token_chunks("\n".join(lines), "go")
+    assert "".join(c.content for c in got if (c.start, c.end) == (2, 2)) == long
+    assert all(len(c.content.encode()) <= chunking.CHUNK_BYTES for c in got)
+    assert {i + 1 for i, x in enumerate(lines) if x and any(c.start <= i + 1 <= c.end and x in c.content for c in got)} == {1, *range(4, 14)}
+    assert max(len(c.content) for c in chunking.token_chunks("\n".join(lines), "go", compat=True)) == chunking.CHUNK_BYTES
+    assert [t for *_, t in chunking.split_large(["é€é"], 1, 1)] == ["é", "€", "é"]
+
+
 JAVA = """package x;
 // class Fake { }
 public class Greeter<T> {
