@@ -34,10 +34,10 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
 
 
 def first_words(spark, known=KNOWN) -> list[str]:
-    """Words that a text which equals a known one can begin with."""
+    """Words that a text which equals a known one can begin with; COPYRIGHT_LINE may leave out "all rights reserved" before it."""
     d = spark.createDataFrame([(t,) for t in known.values()], "text string").select(canonical(F.col("text")).alias("c"))
     first = {r["c"].split(" ")[0] for r in d.collect()}
-    return sorted(first | {other.split(" ")[0] for other, word in EQUIVALENT if word.split(" ")[0] in first})
+    return sorted(first | {"all"} | {other.split(" ")[0] for other, word in EQUIVALENT if word.split(" ")[0] in first})
 
 
 def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
@@ -51,7 +51,7 @@ def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
     whole = F.broadcast(ids.withColumnRenamed("digest", "_d"))
     d = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     d = d.join(whole, d["digest"] == whole["_d"], "left").select("doc_id", "digest", "license_id")
-    # A line's canonical form begins with its first word, or what that is an equivalent spelling of.
+    # A line's canonical form begins with its first word, or what that is an equivalent spelling of, or follows "all rights reserved".
     line = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     line = line.filter(F.regexp_extract(F.lower("line"), r"[\p{L}\p{N}]+", 0).isin(*first_words(docs.sparkSession, known)))
     line = line.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("_d"))

@@ -232,6 +232,18 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
 
 
+def test_license_notice_after_all_rights_reserved(spark):
+    import duckdb
+
+    texts = ["All rights reserved. Released under the MIT License.", "x\n\tALL RIGHTS RESERVED Released under the MIT Licence\ny", "All rights reserved.", "all of it", None]
+    got = sorted((r.doc_id, r.license_id, r.notices) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(0, "notice:MIT", "notice:MIT"), (1, None, "notice:MIT"), (2, None, None), (3, None, None), (4, None, None)]
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert got == sorted((i, x, n) for i, _, x, n in c.execute(licenses.sql()).fetchall())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
