@@ -3,8 +3,9 @@
 A page becomes a stream of block tags and text slots. Neighbouring equal groups
 fold into repeated groups; the folded streams of a host are aligned one after the
 other, and where they differ the alignment makes optional groups or text slots. The
-result, a regular expression without unions, is the host's wrapper. Each of its
-slots has statistics over all pages of the host, from which it is main text or not.
+result, a regular expression without unions, is the host's wrapper. It doesn't decide what
+is main text, as folding pools a template's paragraph with its neighbours: that goes by tag
+paths, with statistics over all pages of the host, and by texts that recur on its pages.
 
 Alignment is a merge of two wrappers, so each task merges what it reads and a host's
 partial wrappers, one a task, are merged after the shuffle: no page leaves its task
@@ -14,9 +15,11 @@ and no host's pages meet in one.
 from __future__ import annotations
 
 import html as entities
+import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -45,8 +48,10 @@ SELF_ENDING = frozenset("p li dt dd tr td th".split())
 ENDS_P = frozenset("p div article section ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 footer header nav aside form main hr figure".split())
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-#: Longest text that is remembered to see whether a slot always holds the same.
+#: Longest text that is remembered in a regular expression's slot.
 CONSTANT = 120
+#: A text is the template's if at least so many pages of its host have it in the same slot, and at least half of those that have the slot.
+FIXED_PAGES = 3
 
 
 def _name(tag: str, attrs: str) -> str:
@@ -213,7 +218,7 @@ def align(a: list, b: list) -> list:
 
 
 class Wrapper:
-    """regex: the wrapper; slots: path -> [pages, blocks, characters, characters in links, its one text or null]."""
+    """regex: the wrapper; slots: path -> [pages, blocks, characters, characters in links]."""
 
     def __init__(self, regex: list | None = None, slots: dict | None = None):
         self.regex, self.slots, self._seen = regex, slots or {}, set()
@@ -221,14 +226,12 @@ class Wrapper:
     def add(self, found: list) -> None:
         pages = set()
         for path, text, linked in found:
-            s = self.slots.setdefault("/".join(path), [0, 0, 0, 0, text if len(text) <= CONSTANT else None])
+            s = self.slots.setdefault("/".join(path), [0, 0, 0, 0])
             s[0] += path not in pages
             pages.add(path)
             s[1] += 1
             s[2] += len(text)
             s[3] += linked
-            if s[4] != text:
-                s[4] = None
         w = stream(found)
         key = _shape(w)
         if key not in self._seen:  # a stream of known shape changes nothing but texts, which the slots count
@@ -239,7 +242,7 @@ class Wrapper:
     def merge(self, other: Wrapper) -> None:
         for path, o in other.slots.items():
             s = self.slots.get(path)
-            self.slots[path] = o if s is None else [s[0] + o[0], s[1] + o[1], s[2] + o[2], s[3] + o[3], s[4] if s[4] == o[4] else None]
+            self.slots[path] = o if s is None else [x + y for x, y in zip(s, o)]
         if other.regex is not None:
             self.regex = other.regex if self.regex is None else align(self.regex, other.regex)
 
@@ -250,21 +253,34 @@ class Wrapper:
     def load(s: str) -> Wrapper:
         return Wrapper(*json.loads(s))
 
-    def main_slots(self, one_site: bool = True) -> tuple[frozenset[str], frozenset[str]]:
-        """Slots of main text, none in an element set aside: those in an article or main
-        element, and those of running text that vary. Pages of no ``one_site`` share no template, so there all vary."""
-        def parts(p):
-            return [x.partition(".") for x in p.split("/")]
-        fit = [p for p in self.slots if not any(tag in ASIDE or mark for tag, _, mark in parts(p))]
-        inner = frozenset(p for p in fit if any(tag in MAIN for tag, _, _ in parts(p)))
-        return inner, frozenset(p for p in fit if 2 * self.slots[p][3] <= self.slots[p][2] and (not one_site or self.slots[p][0] < 3 or self.slots[p][4] is None))
+    def main_slots(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Slots of main text, none in an element set aside: those in an article or main element, and others of running text."""
+        inner = frozenset(p for p in self.slots if _place(p) == "main")
+        return inner, frozenset(p for p, s in self.slots.items() if _place(p) == "other" and 2 * s[3] <= s[2])
 
 
-def main_blocks(found: list, slots: tuple[frozenset[str], frozenset[str]]) -> list[str]:
-    """Texts of a page's main blocks: those in its article or main elements, in a page without such text those of the slots that vary."""
-    paths = ["/".join(path) for path, _, _ in found]
-    own = slots[0] if any(p in slots[0] for p in paths) else slots[1]
-    return [text for p, (_, text, _) in zip(paths, found) if p in own]
+@lru_cache(1 << 16)
+def _place(path: str) -> str:
+    """main: in an article or main element; aside: in an element set aside; other."""
+    parts = [x.partition(".") for x in path.split("/")]
+    if any(tag in ASIDE or mark for tag, _, mark in parts):
+        return "aside"
+    return "main" if any(tag in MAIN for tag, _, _ in parts) else "other"
+
+
+def _digest(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def main_blocks(found: list, slots: tuple[frozenset[str], frozenset[str]], fixed: frozenset[int] = frozenset()) -> list[str]:
+    """Texts of a page's main blocks: those in its article or main elements; in a page without such text its running
+    text without the template's, or all of it if nothing else is there (a copy of other pages)."""
+    own = [("/".join(path), text) for path, text, _ in found]
+    inner = [t for p, t in own if p in slots[0]]
+    if inner:
+        return inner
+    running = [(p, t) for p, t in own if p in slots[1]]
+    return [t for p, t in running if _digest(p, t) not in fixed] or [t for _, t in running]
 
 
 def _shape(w: list) -> str:
@@ -275,21 +291,39 @@ def _shape(w: list) -> str:
 BROADCAST_BYTES = 32 << 20
 
 
+_PARTIAL = "host string, wrapper string, slot long, text long, n long"
+
+
 def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) from all pages (url, html)."""
+    """host, wrapper (JSON), fixed (digests of the template's texts, null if none) from all pages (url, html)."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Wrapper] = {}
         for b in batches:
+            counts: dict[tuple, int] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own.setdefault(host, Wrapper()).add(blocks(page))
+                found = blocks(page)
+                own.setdefault(host, Wrapper()).add(found)
+                if host:  # pages without host share no template
+                    texts = {(p, t) for p, t in (("/".join(path), t) for path, t, _ in found) if _place(p) == "other"}
+                    for key in {(p, None) for p, _ in texts} | texts:
+                        key = (host, _digest(key[0]), key[1] and _digest(*key))
+                        counts[key] = counts.get(key, 0) + 1
+            if counts:
+                host, slot, text = zip(*counts)
+                yield rows(host, [None] * len(host), slot, text, list(counts.values()))
             if len(own) > 20_000:  # bounded memory: what is left is merged after the shuffle
-                yield rows(own)
+                yield wrappers(own)
                 own = {}
         if own:
-            yield rows(own)
+            yield wrappers(own)
+
+    def rows(*columns):
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in _PARTIAL.split(", ")])
 
-    def rows(own):
-        return pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([w.dump() for w in own.values()])], ["host", "wrapper"])
+    def wrappers(own):
+        none = [None] * len(own)
+        return rows(list(own), [w.dump() for w in own.values()], none, none, none)
 
     def whole(df: pd.DataFrame) -> pd.DataFrame:
         w = Wrapper()
@@ -297,8 +331,14 @@ def infer(pages: DataFrame) -> DataFrame:
             w.merge(Wrapper.load(s))
         return pd.DataFrame({"host": [df["host"].iloc[0]], "wrapper": [w.dump()]})
 
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(partial, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string")
+    parts = stored(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(partial, _PARTIAL), "partial_wrappers")
+    found = parts.filter("wrapper is not null").select("host", "wrapper").groupBy("host").applyInPandas(whole, "host string, wrapper string")
+    on = parts.filter("wrapper is null").groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+    slot = on.filter("text is null").select(F.col("host").alias("_h"), F.col("slot").alias("_s"), F.col("n").alias("_n"))
+    text = on.filter(f"text is not null and n >= {FIXED_PAGES}")
+    fixed = text.join(slot, (F.col("host") == F.col("_h")) & (F.col("slot") == F.col("_s"))).filter("2 * n >= _n")
+    fixed = fixed.groupBy(F.col("host").alias("_f")).agg(F.collect_set("text").alias("fixed"))
+    return found.join(fixed, F.col("host") == F.col("_f"), "left").select("host", "wrapper", "fixed")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -309,8 +349,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     the empty host.
     """
     wrappers = stored(infer(pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") * 3), F.lit(0)).alias("n")).first()["n"]
-    side = wrappers.select(F.col("host").alias("_host"), "wrapper")
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") * 3 + 8 * F.coalesce(F.size("fixed"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    side = wrappers.select(F.col("host").alias("_host"), "wrapper", "fixed")
     if size <= BROADCAST_BYTES:
         side = F.broadcast(side)
     d = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(side, F.col("host") == F.col("_host"), "left")
@@ -319,13 +359,13 @@ def main_text(pages: DataFrame) -> DataFrame:
         known: dict = {}
         for b in batches:
             text = []
-            for page, w, host in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            for page, w, host, fixed in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
                 if len(known) > 5000:
                     known.clear()
-                if (w, host == "") not in known:
-                    known[w, host == ""] = Wrapper.load(w).main_slots(host != "") if w else (frozenset(), frozenset())
-                text.append(" ".join(main_blocks(blocks(page), known[w, host == ""])))
+                if host not in known:
+                    known[host] = Wrapper.load(w).main_slots() if w else (frozenset(), frozenset()), frozenset(fixed or ())
+                text.append(" ".join(main_blocks(blocks(page), *known[host])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    d = d.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper", "host")
+    d = d.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper", "host", "fixed")
     return d.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -212,6 +212,14 @@ def test_wrappers_whole_pages(spark):
     assert got == {i: f"{('Article', 'Plain', 'Marked')[i % 3]} {i}" for i in range(9)} | {9: "Article 9", 10: "The same", 11: "The same", 12: "The same", 13: "Other"}
 
 
+def test_wrappers_template_texts(spark):
+    note = "We tell you what this site is for. " * 6
+    page = "<html><body><div><p>Welcome</p><p>" + note + "</p><p>Body {0}</p><p>More {0}</p></div></body></html>"
+    pages = [(i, "http://plain.org/", page.format(i)) for i in range(6)] + [(6 + i, "http://copies.org/", page.format(0)) for i in range(4)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Body {i} More {i}" for i in range(6)} | {i: f"Welcome {note.strip()} Body 0 More 0" for i in range(6, 10)}
+
+
 def test_urls(spark):
     u = ["http://A.Example.COM/en/1?x", "https://example.com/en/7", "http://m.example.net/de/1", "http://example.net/de/8#t", "http://x.org/fr/1", None, "no scheme", "http://x.org", "http://notcom/en/"]
     d = spark.createDataFrame([(i, x, None) for i, x in enumerate(u)], "page_id long, url string, html string")
