@@ -4,71 +4,116 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 greedily into the longest phrases that occur in that language's text; the language
 needing the fewest phrases a character wins. Each Python worker builds the automata
 once from the broadcast sample and steps many texts at a time through flat
-transition tables with NumPy.
+transition tables with NumPy; letters beyond the most frequent have sparse tables.
+Long texts are parsed in pieces side by side. A piece's own parse and the one that comes
+in from the piece before agree from the first phrase that both begin at the same place, so
+that the sum is the parse of the whole text.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import kept, lean, steps
 
 #: The sample: at most so many documents a language, cut to so many characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 60_000
-#: Codes of the alphabet: 0 is anything but a letter, the last one any letter not in the sample's most frequent.
-ALPHABET = 64
-#: Characters that are parsed in one go; a longer text is parsed in pieces whose phrases are summed.
+#: Codes of the dense tables: 0 is anything but a letter, the others are the most frequent letters.
+DENSE = 64
+#: Characters that are parsed side by side.
 PIECE = 4096
+#: Most cells of the grid that pieces are laid out in.
+CELLS = 8_000_000
 #: Bytes of text that one vectorised step takes.
 STEP_BYTES = 6_000_000
 _FAIL = np.int32(1 << 30)
-_LETTER = re.compile(r"[^\W\d_]")
+#: Planes of Unicode that hold letters.
+_CHARS = 0x40000
 
 
-def automaton(codes: np.ndarray, alphabet: int = ALPHABET) -> np.ndarray:
-    """Flat transition table of the suffix automaton of codes.
+class Automaton:
+    """Suffix automaton of codes as tables.
 
-    Entry state * alphabet + code: the next state where the phrase goes on; else
-    the state after starting a new phrase with that code, plus _FAIL.
+    Entry state * DENSE + code of ``dense``: the next state where the phrase goes on; else the
+    state after starting a new phrase with that code, plus _FAIL. Codes from DENSE on are
+    in ``keys`` (state * alphabet + code, sorted) and ``next``. From the last state, ``begin``, every code
+    starts a phrase; a code that isn't in the text is a phrase of its own and leads there.
     """
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in codes.tolist():
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(nxt)
-                nxt.append(nxt[q].copy())
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p != -1 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    table = np.full((len(nxt), alphabet), -1, np.int32)
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s, c] = t
-    start = np.where(table[0] >= 0, table[0], 0)
-    return np.where(table >= 0, table, start[None, :] + _FAIL).ravel()
+
+    def __init__(self, codes: np.ndarray, alphabet: int):
+        nxt: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in codes.tolist():
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p != -1:
+                q = nxt[p][c]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(nxt)
+                    nxt.append(nxt[q].copy())
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p != -1 and nxt[p].get(c) == q:
+                        nxt[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        self.alphabet = alphabet
+        table = np.full((len(nxt), DENSE), -1, np.int32)
+        rare = []
+        for s, row in enumerate(nxt):
+            for c, t in row.items():
+                if c < DENSE:
+                    table[s, c] = t
+                else:
+                    rare.append((s * alphabet + c, t))
+        self.begin = len(nxt)
+        start = np.where(table[0] >= 0, table[0], self.begin)
+        table = np.concatenate([table, np.full((1, DENSE), -1, np.int32)])
+        self.dense = np.where(table >= 0, table, start[None, :] + _FAIL).astype(np.int32).ravel()
+        rare = np.array(sorted(rare), np.int64).reshape(-1, 2)
+        self.keys, self.next = rare[:, 0].copy(), rare[:, 1].astype(np.int32)
+
+    def _rare(self, key: np.ndarray) -> np.ndarray:
+        """Next state of each key, -1 if none."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], -1)
+
+    def step(self, state: np.ndarray, code: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
+        """The entries for states and codes; rare: where the code is DENSE or more."""
+        if rare is None or not len(rare):
+            return self.dense.take(state * DENSE + code)
+        v = self.dense.take(state * DENSE + np.minimum(code, DENSE - 1))
+        c = code[rare].astype(np.int64)
+        if len(self.keys):
+            go, new = self._rare(state[rare] * np.int64(self.alphabet) + c), self._rare(c)
+            v[rare] = np.where(go >= 0, go, np.where(new >= 0, new, self.begin) + _FAIL)
+        else:
+            v[rare] = self.begin + _FAIL
+        return v
+
+    def one(self, state: int, code: int) -> tuple[bool, int]:
+        """Whether a phrase begins with the code, and the next state."""
+        if code < DENSE:
+            v = int(self.dense[state * DENSE + code])
+        else:
+            v = int(self.step(np.array([state], np.int32), np.array([code]), np.zeros(1, np.int64))[0])
+        return v >= _FAIL, v & int(_FAIL - 1)
 
 
 class Model:
@@ -80,62 +125,102 @@ class Model:
             for ch in t.lower():
                 if ch.isalpha():
                     seen[ch] = seen.get(ch, 0) + 1
-        common = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 2]
-        self.lookup = np.zeros(0x110000, np.uint8)
-        for lo in range(0, 0x30000, 4096):
-            self.lookup[lo:lo + 4096] = [(ALPHABET - 1) * chr(i).isalpha() for i in range(lo, lo + 4096)]
-        for i, c in enumerate(common):
+        known = sorted(seen, key=lambda c: (-seen[c], c))
+        self.alphabet = len(known) + 2  # the last code: a letter of no training text
+        kind = np.uint16 if self.alphabet < 1 << 16 else np.uint32
+        self.lookup = np.zeros(0x110000, kind)
+        self.lookup[:_CHARS] = [(self.alphabet - 1) * chr(i).isalpha() for i in range(_CHARS)]
+        for i, c in enumerate(known):
             self.lookup[ord(c)] = i + 1
         self.langs = sorted(texts)
-        self.tables = [automaton(self.codes(texts[lang])) for lang in self.langs]
+        self.tables = [Automaton(self.codes(texts[lang]), self.alphabet) for lang in self.langs]
 
     def codes(self, text: str) -> np.ndarray:
+        """Codes of the lower-cased text, runs of other characters than letters as one 0."""
         c = self.lookup[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         gap = c == 0
         return c[~(gap & np.concatenate([[True], gap[:-1]]))] if len(c) else c
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and characters by text."""
+    def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
+        """Phrases by text (its codes) and language."""
         pieces, owner = [], []
-        chars = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            c = self.codes(t)
-            chars[i] = len(c)
+        for i, c in enumerate(coded):
             for lo in range(0, len(c), PIECE):
                 pieces.append(c[lo:lo + PIECE])
                 owner.append(i)
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        out = np.zeros((len(coded), len(self.langs)), np.int64)
         sizes = np.array([len(p) for p in pieces], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        for lo in range(0, len(order), 8192):
-            own = order[lo:lo + 8192]
+        who = np.array(owner, np.int64)
+        begins: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+        lo = 0
+        while lo < len(order):
+            own = order[lo:lo + max(1, min(8192, CELLS // int(sizes[order[lo]])))]
+            lo += len(own)
             n = sizes[own]
-            grid = np.zeros((int(n[0]), len(own)), np.uint8)
+            grid = np.zeros((int(n[0]), len(own)), self.lookup.dtype)
             for k, j in enumerate(own):
                 grid[: n[k], k] = pieces[j]
             active = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")
-            who = np.array(owner)[own]
+            rare = [np.flatnonzero(row) for row in grid >= DENSE] if int(grid.max(initial=0)) >= DENSE else None
+            # Pieces of texts of more than one: where their phrases begin is kept.
+            parts = [k for k, j in enumerate(own) if len(coded[who[j]]) > PIECE]
             for li, table in enumerate(self.tables):
-                at = np.zeros(len(own), np.int32)
-                count = np.ones(len(own), np.int32)
+                at = np.full(len(own), table.begin, np.int32)
+                count = np.zeros(len(own), np.int32)
+                new = np.zeros((int(n[0]), len(parts)), bool) if parts else None
                 for step in range(int(n[0])):
                     m = int(active[step])
-                    s = at[:m]
-                    np.multiply(s, ALPHABET, out=s)
-                    np.add(s, grid[step, :m], out=s)
-                    v = table.take(s)
-                    count[:m] += v >> 30
-                    np.bitwise_and(v, _FAIL - 1, out=s)
-                np.add.at(out[:, li], who, count)
-        return out, chars
+                    v = table.step(at[:m], grid[step, :m], None if rare is None else rare[step])
+                    fail = v >> 30
+                    count[:m] += fail
+                    np.bitwise_and(v, _FAIL - 1, out=at[:m])
+                    if parts:
+                        w = int(np.searchsorted(parts, m))
+                        new[step, :w] = fail[parts[:w]]
+                single = np.ones(len(own), bool)
+                single[parts] = False
+                np.add.at(out[:, li], who[own[single]], count[single])
+                for x, k in enumerate(parts):
+                    begins[int(own[k]), li] = np.flatnonzero(new[: n[k], x]), int(at[k])
+        if begins:
+            self._stitch(pieces, who, begins, out)
+        return out
+
+    def _stitch(self, pieces, who, begins, out) -> None:
+        """Adds the phrases of texts of several pieces: the parse that comes in goes on in a
+        piece until it begins a phrase where the piece's own parse does."""
+        states = [0] * len(self.tables)
+        for j in sorted({j for j, _ in begins}):
+            for li, table in enumerate(self.tables):
+                own, end = begins[j, li]
+                if j == 0 or who[j - 1] != who[j]:
+                    out[who[j], li] += len(own)
+                    state = end
+                else:
+                    state, n, met = states[li], 0, None
+                    for x, c in enumerate(pieces[j]):
+                        new, state = table.one(state, int(c))
+                        if new:
+                            n += 1
+                            k = int(np.searchsorted(own, x))
+                            if k < len(own) and own[k] == x:
+                                met = x
+                                break
+                    out[who[j], li] += n
+                    if met is not None:
+                        out[who[j], li] += len(own) - int(np.searchsorted(own, met, "right"))
+                        state = end
+                states[li] = state
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """und for null and letterless texts; else the language of fewest phrases
-        (ties: first by name) and 1 - fewest / second fewest."""
-        own = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+        (ties: first by name) and 1 - fewest / second fewest. Letters are what Unicode calls alphabetic."""
+        coded = [self.codes(t) if t else np.zeros(0, self.lookup.dtype) for t in texts]
+        own = [i for i, c in enumerate(coded) if c.any()]
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         if own and self.langs:
-            n, _ = self.phrases([texts[i] for i in own])
+            n = self.phrases([coded[i] for i in own])
             best = np.argmin(n, axis=1)
             low = n[np.arange(len(own)), best]
             rest = n.copy()
@@ -155,16 +240,15 @@ def held_out():
 def sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """{language: training text}: whole documents in the order of a hash of their id.
 
-    First ids and labels only, one bounded top-n a language; then one scan for
-    those documents' texts. Languages are few: the label set of the corpus.
+    Each task keeps the first ids of each label before they are shuffled; then one scan
+    fetches those documents' texts. Languages are few: the label set of the corpus.
     """
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = known.select("doc_id", "lang")
-    chosen: dict[int, str] = {}
-    for (lang,) in ids.select("lang").distinct().orderBy("lang").collect():
-        top = ids.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
-        chosen |= {r["doc_id"]: lang for r in top.collect()}
-    rows = known.filter(F.col("doc_id").isin(list(chosen))).select("doc_id", "lang", F.substring("text", 1, n_chars).alias("text")).collect() if chosen else []
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    top = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n_docs)
+    top = F.broadcast(top.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
+    rows = (known.select("doc_id", "lang", "text").join(top, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+            .select("doc_id", "lang", F.substring("text", 1, n_chars).alias("text")).distinct().collect())
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])
@@ -174,8 +258,9 @@ def sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_chars: int = SAMPLE_CHA
 def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """docs with lang_pred and score (0 to 1).
 
-    Null, empty and letterless texts are und with score 0. Equal texts get equal
-    results. With no labelled text at all everything is und.
+    Null, empty and letterless texts are und with score 0. Equal texts get equal results, repeated
+    rows come again, an empty table gives none. With no labelled text at all everything is und. Texts
+    are parsed whole, however long. Input columns lang_pred and score are replaced, others stay.
     """
     texts = sample(docs) if texts is None else texts
     shared = docs.sparkSession.sparkContext.broadcast(texts)
