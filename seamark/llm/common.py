@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,11 +44,13 @@ def plain_words(text: Column) -> Column:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (tests, a single machine) a folder is made once
-    and put in its place for the session.
+    Where that setting is absent and the master is local (tests, a single machine) a folder is
+    made once and put in its place for the session; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='seamark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -62,6 +65,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+#: Physical operators that give the same rows in the same partitions whenever they run over files.
+_STEADY = frozenset("FileScan BatchScan ColumnarToRow Filter Project".split())
+
+
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df if reading it again gives the same rows in the same partitions and order, that is if
+    it is a deterministic projection of files; else it is stored first."""
+    plan = df._jdf.queryExecution()
+    nodes = {m[1] for line in plan.executedPlan().toString().split("\n") if (m := re.match(r"[^A-Za-z]*([A-Za-z]+)", line))}
+    return df if nodes <= _STEADY and plan.analyzed().deterministic() else stored(df, name)
+
+
 #: What a Python worker keeps for its next task: one thing at a time.
 _KEPT: dict = {}
 
