@@ -8,7 +8,9 @@ repeated next time. New chunks replace those of the same file; deleted files go.
 from __future__ import annotations
 
 import json
+import logging
 import sys
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -19,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import chunking, text
-from .functions.embedding import Embedder, HashEmbedder, embed_column
+from .functions.embedding import Embedder, embed_column
 from .operators import reconcile, search, store
 from .sources.repo_files import read_repo
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Job:
@@ -36,17 +40,20 @@ class Job:
     files: int = 0
     chunks: int = 0
     error: str = ""
+    progress: float = 0.0
 
     @property
-    def progress(self) -> float:
-        return 1.0 if self.status in ("completed", "failed") else 0.0
+    def chunks_per_second(self) -> float:
+        seconds = (self.finished or time.time()) - self.started
+        return self.chunks / seconds if seconds > 0 else 0.0
 
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, embedder: Callable[[], Embedder] | None = None):
         self.spark, self.config = spark, config or Config()
-        self.embedder = embedder or (lambda d=self.config.dimensions: HashEmbedder(d))
-        self.vectors = store.Table(spark, f"{path}/chunks", store.CHUNKS)
+        self.embedder = embedder or self.config.make_embedder()
+        meta = {"dimension": self.embedder().dimension, "metric": self.config.metric}
+        self.vectors = store.Table(spark, f"{path}/chunks", store.CHUNKS, meta)
         self.hashes = store.Table(spark, f"{path}/hashes", store.HASHES)
         self.jobs: dict[str, Job] = {}
 
@@ -54,13 +61,46 @@ class Engine:
 
     def index(self, repo_path: str, force: bool = False, files: DataFrame | None = None) -> Job:
         """Indexes a folder, or a table of files(rel_path, language, content) that stands for it."""
+        return self._run(self._job(repo_path), force, files)
+
+    def start(self, repo_path: str, force: bool = False, files: DataFrame | None = None) -> Job:
+        """As index, in the background; the job's status, progress and counts change as it goes on."""
+        job = self._job(repo_path)
+
+        def run() -> None:
+            try:
+                self._run(job, force, files)
+            except Exception as e:
+                log.error("indexing %s failed: %s", job.repo_path, e)
+        threading.Thread(target=run, name=job.id, daemon=True).start()
+        return job
+
+    def index_some(self, repo_path: str, files: DataFrame) -> Job:
+        """Indexes files(rel_path, language, content) and leaves the repository's others as they are."""
+        return self._run(self._job(repo_path), False, files, partial=True)
+
+    def index_many(self, files: DataFrame, repos: list[str]) -> int:
+        """Indexes files(repo_path, rel_path, language, content) of several repositories in one go and leaves their
+        others as they are; how many of them were new or had changed."""
+        job = Job("")
+        self._apply(job, files, repos, False, partial=True)
+        return job.files
+
+    def _job(self, repo_path: str) -> Job:
         if not repo_path:
             raise ValueError("repo_path is required")
         job = Job(repo_path, status="running", started=time.time())
         self.jobs[job.id] = job
+        return job
+
+    def _run(self, job: Job, force: bool, files: DataFrame | None, partial: bool = False) -> Job:
         try:
-            self._index(job, repo_path, force, files)
-            job.status = "completed"
+            c = self.config
+            if files is None:
+                files = read_repo(self.spark, job.repo_path, c.max_file_size_mb, c.ignore).filter("disposition = 'kept'")
+                files = files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+            self._apply(job, files.withColumn("repo_path", F.lit(job.repo_path)), [job.repo_path], force, partial)
+            job.status, job.progress = "completed", 1.0
         except Exception as e:
             job.status, job.error = "failed", str(e)
             raise
@@ -68,54 +108,49 @@ class Engine:
             job.finished = time.time()
         return job
 
-    def index_some(self, repo_path: str, files: DataFrame) -> Job:
-        """Indexes files(rel_path, language, content) and leaves the repository's others as they are."""
-        job = Job(repo_path, status="running", started=time.time())
-        self.jobs[job.id] = job
-        self._index(job, repo_path, False, files, partial=True)
-        job.status, job.finished = "completed", time.time()
-        return job
-
-    def _index(self, job: Job, repo: str, force: bool, files: DataFrame | None, partial: bool = False) -> None:
+    def _apply(self, job: Job, files: DataFrame, repos: list[str], force: bool, partial: bool) -> None:
+        """files(repo_path, rel_path, language, content) of the repositories, chunked, embedded and committed."""
         c = self.config
-        if files is None:
-            files = read_repo(self.spark, repo, c.max_file_size_mb, c.ignore).filter("disposition = 'kept'")
-            files = files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
         now = F.lit(time.time()).cast("timestamp")
-        files = files.select(F.lit(repo).alias("repo_path"), F.col("rel_path").alias("path"), "language", "content", F.sha2("content", 256).alias("hash"))
-        files = files.persist()
+        files = files.select("repo_path", F.col("rel_path").alias("path"), "language", "content", F.sha2("content", 256).alias("hash")).persist()
+        new = states = None
         try:
-            old_hashes, old = self.hashes.read(), self.vectors.read()
-            cached = old_hashes.filter(F.col("repo_path") == repo)
-            if force or (cached.limit(1).count() and not old.filter(F.col("repo_path") == repo).limit(1).count()):
-                cached = cached.limit(0)
+            old_hashes, old = self.hashes.read(*repos), self.vectors.read(*repos)
+            cached = old_hashes.limit(0) if force else old_hashes
+            if not force:  # hashes of a repository without chunks, though some file should have one, are of no use
+                lost = old_hashes.filter("chunk_count > 0").select("repo_path").distinct().join(old.select("repo_path").distinct(), "repo_path", "left_anti")
+                cached = cached.join(lost, "repo_path", "left_anti")
             states = reconcile.diff(files.select("repo_path", "path", "hash"), cached)
             if partial:
                 states = states.filter("state <> 'deleted'")
+            states = states.filter("state <> 'unchanged'").persist()
+            n_states = states.count()
+            job.progress = 0.2
+            if not (n_states or force):
+                return
             todo = reconcile.needs_index(files, cached)
-            chunks = chunking.chunk_files(todo.select("repo_path", F.col("path").alias("file_path"), "language", "content"), None, c.max_chunk_bytes, c.compat)
+            job.files = todo.count()
+            chunks = chunking.chunk_files(todo.select("repo_path", F.col("path").alias("file_path"), "language", "content"), c.sizes, c.max_chunk_bytes, c.compat, c.hierarchy)
             chunks = chunks.withColumn("id", text.chunk_id(F.col("repo_path"), F.col("file_path"), F.col("chunk_type"), F.col("start_line"), F.col("end_line"), F.col("content"), F.col("ordinal")))
-            parents = chunks.select("repo_path", "file_path", F.col("ordinal").alias("parent_ordinal"), F.col("id").alias("parent_chunk_id"))
-            parents = parents.filter(F.col("parent_ordinal").isNotNull())
+            parents = chunks.filter("chunk_type = 'class'").select("repo_path", "file_path", F.col("ordinal").alias("parent_ordinal"), F.col("id").alias("parent_chunk_id"))
             chunks = chunks.join(parents, ["repo_path", "file_path", "parent_ordinal"], "left")
             chunks = chunks.withColumn("embedding", embed_column(self.embedder, text.cut(F.col("content")), c.embed_batch)).withColumn("indexed_at", now)
-            chunks = chunks.withColumn("metadata", F.create_map().cast("map<string,string>")).withColumn("repo_key", F.lit(store.paths_key(repo)))
+            chunks = chunks.withColumn("metadata", F.create_map().cast("map<string,string>")).withColumn("repo_key", F.lit(None).cast("string"))
             new = chunks.select(*store.CHUNKS.fieldNames()).persist()
-            changed = states.filter("state <> 'unchanged'").select("repo_path", F.col("path").alias("file_path"))
-            if force:
-                base = old.filter(F.col("repo_path") != repo)
-            else:
-                base = old.join(changed, ["repo_path", "file_path"], "left_anti")
-            job.files, job.chunks = todo.count(), new.count()
-            n = new.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("chunk_count"))
-            indexed = todo.join(n, "path", "left").select("repo_path", "path", "hash", now.alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(store.paths_key(repo)).alias("repo_key"))
-            kept = old_hashes.filter(F.col("repo_path") != repo) if force else reconcile.updated(old_hashes, indexed.limit(0), states)
-            if job.files or states.filter("state = 'deleted'").limit(1).count() or force:
-                self.vectors.write(base.select(*store.CHUNKS.fieldNames()).unionByName(new))
-                self.hashes.write(kept.select(*store.HASHES.fieldNames()).unionByName(indexed))
-            new.unpersist()
+            job.chunks = new.count()
+            job.progress = 0.8
+            changed = states.select("repo_path", F.col("path").alias("file_path"))
+            base = old.limit(0) if force else old.join(changed, ["repo_path", "file_path"], "left_anti")
+            n = new.groupBy("repo_path", F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("chunk_count"))
+            indexed = todo.join(n, ["repo_path", "path"], "left").select("repo_path", "path", "hash", now.alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(None).cast("string").alias("repo_key"))
+            kept = old_hashes.limit(0) if force else reconcile.updated(old_hashes, indexed.limit(0), states)
+            self.vectors.replace(base.unionByName(new), repos)
+            job.progress = 0.9
+            self.hashes.replace(kept.unionByName(indexed), repos)
         finally:
-            files.unpersist()
+            for d in (files, states, new):
+                if d is not None:
+                    d.unpersist()
 
     # Search
 
@@ -145,7 +180,7 @@ class Engine:
     def status(self, repo_path: str) -> dict:
         for j in self.jobs.values():
             if j.repo_path == repo_path and j.status == "running":
-                return {"repo_path": repo_path, "status": "running", "total_files": j.files, "total_chunks": j.chunks}
+                return {"repo_path": repo_path, "status": "running", "progress": j.progress, "total_files": j.files, "total_chunks": j.chunks}
         v, h = self.vectors.read(repo_path), self.hashes.read(repo_path)
         chunks, last = v.agg(F.count("*"), F.max("indexed_at")).first()
         langs = {r[0]: r[1] for r in v.groupBy("language").agg(F.countDistinct("file_path")).collect()}
@@ -157,10 +192,10 @@ class Engine:
 
     def clear_cache(self, repo_path: str) -> None:
         """Forgets a repository's hashes; its chunks stay until they are replaced."""
-        self.hashes.write(store.without_repo(self.hashes.read(), repo_path))
+        self.hashes.drop(repo_path)
 
     def delete_repo(self, repo_path: str) -> None:
-        self.vectors.write(store.without_repo(self.vectors.read(), repo_path))
+        self.vectors.drop(repo_path)
         self.clear_cache(repo_path)
 
     # Tools over JSON lines
@@ -171,7 +206,8 @@ class Engine:
             if tool == "semantic_search":
                 return {"content": self.format(self.search(args.get("query", ""), args.get("repo_path", ""), args.get("limit"), args.get("chunk_type")))}
             if tool == "index_codebase":
-                return {"content": asdict(self.index(args.get("repo_path", ""), bool(args.get("force_reindex"))))}
+                run = self.start if args.get("background") else self.index
+                return {"content": asdict(run(args.get("repo_path", ""), bool(args.get("force_reindex"))))}
             if tool == "clear_cache":
                 self.clear_cache(args["repo_path"])
                 return {"content": "cache cleared"}

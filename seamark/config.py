@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
+from functools import partial
 
+from .functions.chunking import Sizes
+from .functions.embedding import Embedder, HashEmbedder, HttpEmbedder
 from .functions.paths import IGNORE
 from .functions.text import CHUNK_BYTES
+from .functions.vectors import METRICS
 
 
 @dataclass(frozen=True)
@@ -16,14 +21,18 @@ class Config:
     medium_max_tokens: int = 200
     large_max_tokens: int = 150
     max_chunk_bytes: int = CHUNK_BYTES
+    hierarchy: bool = True
     max_file_size_mb: float = 1
     max_results: int = 5
     semantic_weight: float = 0.7
     exact_match_boost: float = 1.5
     min_score_threshold: float | None = None
+    #: hash (no model) or http (a model server at embedding_url).
+    embedder: str = "hash"
     embedding_model: str = "nomic-embed-text"
     embedding_url: str = "http://localhost:11434"
     embed_batch: int = 16
+    embed_in_flight: int = 10
     dimensions: int = 256
     full_dimension: int = 768
     use_mrl: bool = True
@@ -33,17 +42,31 @@ class Config:
     compat: bool = False
 
     def __post_init__(self):
-        if self.max_results < 1 or self.embed_batch < 1 or self.dimensions < 1:
-            raise ValueError("max_results, embed_batch and dimensions must be at least 1")
+        if min(self.max_results, self.embed_batch, self.embed_in_flight, self.dimensions, self.full_dimension) < 1:
+            raise ValueError("max_results, embed_batch, embed_in_flight and the dimensions must be at least 1")
+        if self.embedder not in ("hash", "http"):
+            raise ValueError(f"unknown embedder: {self.embedder}")
+        if self.metric not in METRICS:
+            raise ValueError(f"unknown metric: {self.metric}")
+
+    def make_embedder(self) -> Callable[[], Embedder]:
+        """What makes the embedder, on the driver and in each task."""
+        if self.embedder == "hash":
+            return partial(HashEmbedder, self.dimensions)
+        return partial(HttpEmbedder, self.embedding_url, self.embedding_model, self.full_dimension, self.dimensions, self.use_mrl, self.normalize, in_flight=self.embed_in_flight)
+
+    @property
+    def sizes(self) -> Sizes:
+        return Sizes(self.small_max_tokens, self.medium_max_tokens, self.large_max_tokens)
 
 
 def load(path: str | None = None, env: dict | None = None) -> Config:
-    """Defaults, then a JSON (or, with a YAML library, YAML) file, then OLLAMA_URL and EMBEDDING_MODEL.
+    """Defaults, then a JSON (or, with a YAML library, YAML) file, then OLLAMA_URL and EMBEDDING_MODEL, which choose the model server.
 
-    Without a path: SEMANTIC_SEARCH_CONFIG, ./config.yaml, ~/.semantic-search/config.yaml, the first that exists.
+    Without a path: SEAMARK_CONFIG, ./config.yaml, ~/.seamark/config.yaml, the first that exists.
     """
     env = os.environ if env is None else env
-    places = [path] if path else [env.get("SEMANTIC_SEARCH_CONFIG"), "config.yaml", os.path.expanduser("~/.semantic-search/config.yaml")]
+    places = [path] if path else [env.get("SEAMARK_CONFIG"), "config.yaml", os.path.expanduser("~/.seamark/config.yaml")]
     c = Config()
     for p in places:
         if p and os.path.exists(os.path.expanduser(p)):
@@ -51,7 +74,7 @@ def load(path: str | None = None, env: dict | None = None) -> Config:
                 c = merged(c, _parse(f.read(), p))
             break
     over = {k: v for k, v in (("embedding_url", env.get("OLLAMA_URL")), ("embedding_model", env.get("EMBEDDING_MODEL"))) if v}
-    return replace(c, **over)
+    return replace(c, **over, **({"embedder": "http"} if over else {}))
 
 
 def _parse(text: str, path: str) -> dict:

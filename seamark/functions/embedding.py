@@ -13,6 +13,7 @@ import math
 import re
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -52,14 +53,16 @@ class HashEmbedder:
 
 class HttpEmbedder:
     """POST {url}/api/embeddings with model and prompt; the full dimension is checked,
-    then the vector is cut to ``dimension`` and scaled to unit length. Any failure fails the batch."""
+    then the vector is cut to ``dimension`` and scaled to unit length. At most ``in_flight`` requests
+    are out at a time; vectors come in the order of the texts. Any failure fails the batch (the first text's, if there are more)."""
 
-    def __init__(self, url: str = "http://localhost:11434", model: str = "nomic-embed-text", full: int = 768, dimension: int = 256, truncate: bool = True, normalise: bool = True, timeout: float = 60):
-        self.url, self.model, self.full, self.timeout, self.normalise = url.rstrip("/"), model, full or 768, timeout, normalise
+    def __init__(self, url: str = "http://localhost:11434", model: str = "nomic-embed-text", full: int = 768, dimension: int = 256, truncate: bool = True, normalise: bool = True, timeout: float = 60, in_flight: int = 10):
+        self.url, self.model, self.full, self.timeout, self.normalise, self.in_flight = url.rstrip("/"), model, full or 768, timeout, normalise, in_flight
         self.dimension = snap_dimension(dimension, self.full) if truncate and dimension < self.full else self.full
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [self._one(t) for t in texts]
+        with ThreadPoolExecutor(self.in_flight) as pool:
+            return list(pool.map(self._one, texts))
 
     def _one(self, text: str) -> list[float]:
         body = json.dumps({"model": self.model, "prompt": text[:EMBED_CHARS]}).encode()

@@ -59,5 +59,7 @@ METRICS = {"cosine": cosine, "dot": dot, "euclid": euclid}
 
 
 def similarity(metric: str):
-    """The metric's function; cosine for unknown names."""
-    return METRICS.get(metric, cosine)
+    """The metric's function."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    return METRICS[metric]

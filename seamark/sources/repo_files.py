@@ -3,7 +3,8 @@
 Unlike the binary file reader it also lists names that begin with a dot or an
 underscore. Hidden folders and ignored ones are pruned while walking, symbolic links to
 folders aren't followed, and a file is read only if its language is supported and its
-size within the limit. Each top-level entry is a partition.
+size within the limit. The driver lists names and sizes; files are dealt to partitions of a bounded
+number of files and bytes, so that one large folder is many tasks.
 """
 
 from __future__ import annotations
@@ -36,10 +37,14 @@ def is_ignored(rel: str, patterns=IGNORE) -> bool:
     return False
 
 
-class _Entry(InputPartition):
-    def __init__(self, name: str):
-        super().__init__(name)
-        self.name = name
+#: Most files and, but for a single larger file, bytes of a partition.
+PART_FILES, PART_BYTES = 2000, 32 << 20
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str], errors: list[tuple[str, str]]):
+        super().__init__(None)
+        self.paths, self.errors = paths, errors
 
 
 class _Reader(DataSourceReader):
@@ -54,34 +59,45 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         name = os.path.basename(self.root)
-        if name.startswith(".") and name != ".":  # a hidden root hides everything
-            return [_Entry("")]
-        return [_Entry(x) for x in sorted(os.listdir(self.root))] or [_Entry("")]
+        errors: list[tuple[str, str]] = []
+        out, own, size = [], [], 0
+        if not name.startswith(".") or name == ".":  # a hidden root hides everything
+            for path, n in self._walk(errors):
+                n = min(n, self.limit)
+                if own and (len(own) >= PART_FILES or size + n > PART_BYTES):
+                    out.append(_Files(own, []))
+                    own, size = [], 0
+                own.append(path)
+                size += n
+        return [*out, _Files(own, errors)]
 
     def read(self, partition):
-        if not partition.name:
-            return
-        top = os.path.join(self.root, partition.name)
-        if os.path.isdir(top) and not os.path.islink(top):
-            yield from self._walk(top)
-        else:
-            yield self._row(top)
-
-    def _walk(self, folder: str):
-        rel = os.path.relpath(folder, self.root).replace(os.sep, "/")
-        if os.path.basename(folder).startswith(".") or is_ignored(rel, self.patterns):
-            return
-        try:
-            names = sorted(os.listdir(folder))
-        except OSError as e:
-            yield (self.root, folder, rel, os.path.basename(folder), None, None, None, "error", str(e), None)
-            return
-        for n in names:
-            p = os.path.join(folder, n)
-            if os.path.isdir(p) and not os.path.islink(p):
-                yield from self._walk(p)
-            else:
-                yield self._row(p)
+        for path in partition.paths:
+            yield self._row(path)
+        for folder, e in partition.errors:
+            yield (self.root, folder, os.path.relpath(folder, self.root).replace(os.sep, "/"), os.path.basename(folder), None, None, None, "error", e, None)
+
+    def _walk(self, errors: list):
+        """(path, size) of every file of folders that aren't pruned."""
+        folders = [self.root]
+        while folders:
+            folder = folders.pop()
+            try:
+                entries = sorted(os.scandir(folder), key=lambda e: e.name, reverse=True)
+            except OSError as e:
+                errors.append((folder, str(e)))
+                continue
+            for e in reversed(entries):
+                if e.is_dir(follow_symlinks=False):
+                    rel = os.path.relpath(e.path, self.root).replace(os.sep, "/")
+                    if not e.name.startswith(".") and not is_ignored(rel, self.patterns):
+                        folders.append(e.path)
+                    continue
+                try:
+                    n = e.stat().st_size
+                except OSError:
+                    n = 0
+                yield e.path, n
 
     def _row(self, path: str):
         rel = os.path.relpath(path, self.root).replace(os.sep, "/")

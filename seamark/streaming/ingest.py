@@ -13,22 +13,17 @@ def ingest(engine: Engine, files: DataFrame, checkpoint: str, **trigger):
 
     Within a batch the last row of a path wins (by content where there is no other order).
     A batch brings some files of a repository, not all: what it doesn't hold stays as it is. A
-    repeated batch changes nothing, as unchanged files are recognised by their hash.
+    repeated batch changes nothing, as unchanged files are recognised by their hash. All repositories of a batch
+    are indexed in one plan and committed at once; their names, not their files, come to the driver.
     """
     def batch(df: DataFrame, epoch: int) -> None:
         df = df.persist()
-        for (repo,) in df.select("repo_path").distinct().collect():
-            new = df.filter(F.col("repo_path") == repo).groupBy("rel_path").agg(F.max_by(F.struct("language", "content"), "content").alias("f"))
-            upsert(engine, repo, new.select("rel_path", "f.language", "f.content"))
-        df.unpersist()
+        try:
+            repos = [r["repo_path"] for r in df.select("repo_path").distinct().collect()]
+            if repos:
+                last = df.groupBy("repo_path", "rel_path").agg(F.max_by(F.struct("language", "content"), "content").alias("f"))
+                engine.index_many(last.select("repo_path", "rel_path", "f.language", "f.content"), repos)
+        finally:
+            df.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def upsert(engine: Engine, repo: str, files: DataFrame) -> None:
-    """Indexes files without taking absent ones for deleted."""
-    seen = engine.hashes.read(repo).select("path", "hash")
-    mine = files.withColumn("hash", F.sha2("content", 256))
-    new = mine.join(seen, (F.col("rel_path") == seen["path"]) & (mine["hash"] == seen["hash"]), "left_anti").drop("hash")
-    if new.limit(1).count():
-        engine.index_some(repo, new)
