@@ -7,13 +7,16 @@ files stay in their task, there is no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .structure import LANGUAGES, Unit, units
 from .text import CHUNK_BYTES, TOKEN, boundary_pattern
 
 LOOK_AHEAD = 10
@@ -39,6 +42,14 @@ class Limits:
             raise ValueError("max_tokens must be positive and more than overlap, which must not be negative")
 
 
+class Sizes(NamedTuple):
+    """Token budgets of files of less than 1,000 lines, less than 5,000, and more."""
+
+    small: int = 300
+    medium: int = 200
+    large: int = 150
+
+
 def limits_for(n_lines: int, small: int = 300, medium: int = 200, large: int = 150) -> Limits:
     if small <= 0:
         return Limits(200, 20)
@@ -73,7 +84,7 @@ def overlap_lines(lines: list[str], budget: int) -> int:
     return held
 
 
-def token_chunks(content: str, language: str | None, limits: Limits | None = None, compat: bool = False) -> list[Piece]:
+def token_chunks(content: str, language: str | None, limits: Limits | Sizes | None = None, compat: bool = False) -> list[Piece]:
     """Chunks of at most max_tokens tokens (a single longer line has no other in its chunk), each beginning with an overlap.
 
     When the budget is reached, a boundary line within the next ten lines ends the chunk
@@ -83,7 +94,8 @@ def token_chunks(content: str, language: str | None, limits: Limits | None = Non
     if not content.strip():
         return []
     lines = content.split("\n")
-    limits = limits or limits_for(len(lines))
+    if not isinstance(limits, Limits):
+        limits = limits_for(len(lines), *(limits or Sizes()))
     bound = re.compile(boundary_pattern(language, compat))
     tokens = [count_tokens(x) for x in lines]
     out: list[Piece] = []
@@ -149,105 +161,21 @@ def split_large(lines: list[str], first_line: int, max_bytes: int = CHUNK_BYTES)
     return out
 
 
-# Structure: a scanner that knows strings, comments and braces finds unit headers and their ends.
-
-_HEADS = {
-    "java": [("class", re.compile(r"\b(?:class|interface|enum|record)\s+(\w+)")),
-             ("method", re.compile(r"(?:^|[;{}\n])\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?(?:[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\s+)?(\w+)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:throws\s+[\w.,\s]+)?\{"))],
-    "javascript": [("class", re.compile(r"\bclass\s+(\w+)")), ("function", re.compile(r"\bfunction\b\s*\*?\s*(\w*)\s*\([^{}]*?\)\s*(?::[^{};=]+)?\{")),
-                   ("function", re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=;{}]+)?=\s*(?:async\s+)?(?:\([^{}]*?\)|\w+)\s*(?::[^=;{}]+)?=>\s*\{")),
-                   ("method", re.compile(r"(?:^|[;{}\n])\s*(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*[*#]?(\w+)\s*(?:<[^>]*>)?\([^{};]*?\)\s*(?::[^{};=]+)?\{"))],
-}
-_HEADS["typescript"] = [*_HEADS["javascript"], ("class", re.compile(r"\binterface\s+(\w+)")), ("class", re.compile(r"\btype\s+(\w+)(?:<[^>]*>)?\s*=\s*"))]
-_KEYWORDS = frozenset("if for while switch catch return else do try new throw function synchronized super this await typeof delete in of case".split())
-
-
-def blanked(code: str) -> str:
-    """The code with comments and the contents of strings as spaces; same length and lines."""
-    out, i, n = list(code), 0, len(code)
-    while i < n:
-        two = code[i:i + 2]
-        if two == "//":
-            j = code.find("\n", i)
-            j = n if j < 0 else j
-        elif two == "/*":
-            j = code.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-        elif code[i] in "\"'`":
-            q, j = code[i], i + 1
-            while j < n and code[j] != q and (q == "`" or code[j] != "\n"):
-                j += 2 if code[j] == "\\" else 1
-            j = min(n, j + 1)
-        else:
-            i += 1
-            continue
-        for k in range(i, min(j, n)):
-            if out[k] != "\n":
-                out[k] = " "
-        i = j
-    return "".join(out)
-
-
-@dataclass
-class Unit:
-    kind: str  # class, method or function
-    name: str
-    begin: int
-    end: int
-    parent: int | None = None
-
-
-def units(code: str, language: str) -> list[Unit]:
-    """Units in order of their begin; a unit runs from its header's line to its closing brace."""
-    flat = blanked(code)
-    close: dict[int, int] = {}
-    stack: list[int] = []
-    for m in re.finditer(r"[{}]", flat):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            close[stack.pop()] = m.end()
-    found: dict[int, Unit] = {}
-    for kind, pattern in _HEADS.get(language, []):
-        for m in pattern.finditer(flat):
-            name = m[1] or ""
-            if name in _KEYWORDS:
-                continue
-            brace = flat.find("{", m.end() - 1)
-            if kind == "class" and re.match(r"type\b", m[0]):
-                stop = re.compile(r";|\n\s*\n|\Z").search(flat, m.end())
-                end = max(close.get(brace, 0) if 0 <= brace < stop.end() else 0, stop.end())
-            elif brace in close and (kind != "class" or ";" not in flat[m.end():brace]):
-                end = close[brace]
-            else:
-                continue
-            word = m.start(1) if m[1] else m.start()
-            begin = code.rfind("\n", 0, word) + 1
-            key = brace if brace >= 0 else begin
-            if key not in found:
-                found[key] = Unit(kind, name, begin, end)
-    out = sorted(found.values(), key=lambda u: (u.begin, -u.end))
-    for i, u in enumerate(out):
-        for j in range(i - 1, -1, -1):
-            if out[j].begin <= u.begin and u.end <= out[j].end and (out[j].begin, out[j].end) != (u.begin, u.end):
-                u.parent = j
-                break
-    for u in out:
-        if u.kind == "method" and (u.parent is None or out[u.parent].kind != "class"):
-            u.kind = "function"
-    return out
-
-
-def structural_chunks(content: str, language: str, max_bytes: int = CHUNK_BYTES, compat: bool = False) -> list[Piece]:
-    """Chunks of classes, methods and functions; a class over max_bytes becomes a
+def structural_chunks(content: str, language: str, max_bytes: int = CHUNK_BYTES, compat: bool = False, hierarchy: bool = True) -> list[Piece]:
+    """Chunks of classes, methods and functions; with ``hierarchy`` a class over max_bytes becomes a
     summary with its methods linked to it. Longer units are split. ``compat``: methods of
     such a class come again as functions."""
     found = units(content, language)
     out: list[Piece] = []
     by_unit: dict[int, int] = {}
+    ends = [m.start() for m in re.finditer("\n", content)]
+    members: dict[int, list[Unit]] = {}
+    for u in found:
+        if u.kind == "method" and u.parent is not None:
+            members.setdefault(u.parent, []).append(u)
 
     def lines_of(u: Unit) -> tuple[int, int]:
-        return content.count("\n", 0, u.begin) + 1, content.count("\n", 0, max(u.begin, u.end - 1)) + 1
+        return bisect_left(ends, u.begin) + 1, bisect_left(ends, max(u.begin, u.end - 1)) + 1
 
     def add(u: Unit, kind: str, parent: int | None = None) -> None:
         body = content[u.begin:u.end]
@@ -263,17 +191,17 @@ def structural_chunks(content: str, language: str, max_bytes: int = CHUNK_BYTES,
             out.append(Piece(a, b, t, kind, parent=parent, **names))
 
     for i, u in enumerate(found):
-        large = u.kind == "class" and len(content[u.begin:u.end].encode("utf-8", "surrogatepass")) > max_bytes
+        large = hierarchy and u.kind == "class" and len(content[u.begin:u.end].encode("utf-8", "surrogatepass")) > max_bytes
         if large:
-            members = [m for m in found if m.parent == i and m.kind == "method"]
+            own = members.get(i, [])
             first, last = lines_of(u)
-            head_end = min([m.begin for m in members] or [u.end])
+            head_end = min([m.begin for m in own] or [u.end])
             head = content[u.begin:head_end].rstrip().split("\n")[:SUMMARY_LINES]
             names = []
-            for m in members[:SUMMARY_METHODS]:
+            for m in own[:SUMMARY_METHODS]:
                 sig = next((x.strip() for x in content[m.begin:m.end].split("\n") if m.name in x), m.name)
                 names.append("  " + sig[:SIGNATURE_CHARS])
-            more = [f"  ... and {len(members) - SUMMARY_METHODS} more methods"] if len(members) > SUMMARY_METHODS else []
+            more = [f"  ... and {len(own) - SUMMARY_METHODS} more methods"] if len(own) > SUMMARY_METHODS else []
             by_unit[i] = len(out)
             out.append(Piece(first, last, "\n".join([*head, "Methods:", *names, *more])[:max_bytes], "class", cls=u.name))
         elif u.kind == "method" and u.parent in by_unit:
@@ -285,24 +213,25 @@ def structural_chunks(content: str, language: str, max_bytes: int = CHUNK_BYTES,
     return out
 
 
-def chunk_text(content: str, language: str | None, limits: Limits | None = None, max_bytes: int = CHUNK_BYTES, compat: bool = False) -> list[Piece]:
+def chunk_text(content: str, language: str | None, limits: Limits | Sizes | None = None, max_bytes: int = CHUNK_BYTES, compat: bool = False, hierarchy: bool = True) -> list[Piece]:
     """Structure where the language has it and some is found, else token budget. Blank: none."""
     if not content or not content.strip():
         return []
-    return (structural_chunks(content, language, max_bytes, compat) if language in _HEADS else []) or token_chunks(content, language, limits, compat)
+    found = structural_chunks(content, language, max_bytes, compat, hierarchy) if language in LANGUAGES else []
+    return found or token_chunks(content, language, limits, compat)
 
 
 _FIELDS = ("repo_path string, file_path string, language string, chunk_type string, content string, start_line int, end_line int, function_name string, "
            "class_name string, ordinal int, parent_ordinal int")
 
 
-def chunk_files(files: DataFrame, limits: Limits | None = None, max_bytes: int = CHUNK_BYTES, compat: bool = False) -> DataFrame:
+def chunk_files(files: DataFrame, limits: Limits | Sizes | None = None, max_bytes: int = CHUNK_BYTES, compat: bool = False, hierarchy: bool = True) -> DataFrame:
     """Chunks of files(repo_path, file_path, language, content); null content gives none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for repo, path, lang, content in zip(*(c.to_pylist() for c in b.columns)):
-                for k, p in enumerate(chunk_text(content or "", lang, limits, max_bytes, compat)):
+                for k, p in enumerate(chunk_text(content or "", lang, limits, max_bytes, compat, hierarchy)):
                     rows.append((repo, path, lang, p.kind, p.content, p.start, p.end, p.function, p.cls, k, p.parent))
             cols = list(zip(*rows)) if rows else [[]] * 11
             types = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()] * 2 + [pa.int32()] * 2

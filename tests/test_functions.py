@@ -103,7 +103,7 @@ interface Small { void a(); }
 
 def test_structure():
     got = [(u.kind, u.name, u.parent) for u in chunking.units(JAVA, "java")]
-    assert got == [("class", "Greeter", None), ("method", "greet", 0), ("method", "other", 0), ("class", "Small", None)]
+    assert got == [("class", "Greeter", None), ("method", "greet", 0), ("method", "other", 0), ("class", "Small", None), ("method", "a", 3)]
     js = "export class A {\n  go(x) {\n    return 1;\n  }\n}\nconst f = async (a) => {\n  return a;\n};\nfunction g() { return 2; }\n"
     assert [(u.kind, u.name) for u in chunking.units(js, "javascript")] == [("class", "A"), ("method", "go"), ("function", "f"), ("function", "g")]
     big = "class B {\n" + "".join(f"  void m{i}() {{\n    int a = {i};\n  }}\n" for i in range(200)) + "}\n"
