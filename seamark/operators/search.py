@@ -48,9 +48,11 @@ def knn_many(chunks: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
     """query_id, rank, id, semantic_score: the k nearest of every query (query_id, embedding).
 
     Any number of queries is answered: they are read in blocks of ``most_queries``, each block is broadcast as
-    a matrix and takes its own pass over chunks; each batch of rows is multiplied with it and keeps k rows a
-    query, so a task sends k rows a query and batch at most, which one window then merges.
+    a matrix and takes its own pass over chunks; each batch of rows is multiplied with it, and a task keeps and
+    sends k rows a query, which one window then merges.
     """
+    if metric not in vectors.METRICS:
+        raise ValueError(f"unknown metric: {metric}")
     from functools import reduce
     from itertools import batched
 
@@ -66,21 +68,32 @@ def knn_many(chunks: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
         shared = chunks.sparkSession.sparkContext.broadcast(unit(m) if metric == "cosine" else m)
 
         def run(batches):
+            # The best k of each query so far, in this task; one batch of k rows a query comes out at the end.
+            q = shared.value
+            best = np.full((len(q), k), -np.inf)
+            who = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
             for b in batches:
                 own = b.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                if not len(x):
+                if not len(own):
                     continue
+                x = np.array(b.column(1).to_pylist(), np.float64)
                 if metric == "cosine":
                     x = unit(x)
-                for lo in range(0, len(ids), 1000):  # scores of a whole block and batch would take 800 MB
-                    q = shared.value[lo:lo + 1000]
-                    s = q @ x.T
+                for lo in range(0, len(q), 1000):  # scores of a whole block and batch would take 800 MB
+                    y = q[lo:lo + 1000]
+                    s = y @ x.T
                     if metric == "euclid":
-                        s = 1 / (1 + np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * s)))
-                    for qi in range(len(q)):
-                        best = np.lexsort((own, -s[qi]))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[lo + qi])), pa.array(own[best]), pa.array(s[qi][best])], ["query_id", "id", "semantic_score"])
+                        s = 1 / (1 + np.sqrt(np.maximum(0, (y**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * s)))
+                    s = np.concatenate([best[lo:lo + 1000], s], axis=1)
+                    i = np.concatenate([who[lo:lo + 1000], np.broadcast_to(own, (len(y), len(own)))], axis=1)
+                    # Everything as good as the k-th best counts, so that ties go by id.
+                    least = np.partition(s, -k, axis=1)[:, -k]
+                    for r in range(len(y)):
+                        at = np.flatnonzero(s[r] >= least[r])
+                        at = at[np.lexsort((i[r, at], -s[r, at]))[:k]]
+                        best[lo + r], who[lo + r] = s[r, at], i[r, at]
+            real = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[real]), pa.array(who[real]), pa.array(best[real])], ["query_id", "id", "semantic_score"])
 
         return d.mapInArrow(run, "query_id long, id long, semantic_score double")
 
@@ -103,9 +116,14 @@ def hybrid(candidates: DataFrame, query: str, r: Ranking = Ranking()) -> DataFra
     return candidates.withColumn("exact_match", exact).withColumn("hybrid_score", score)
 
 
-def search(chunks: DataFrame, query: str, vector: list[float], r: Ranking = Ranking(), metric: str = "cosine", repo: str | None = None, chunk_type: str | None = None, id_col: str = "id") -> DataFrame:
-    """Top oversample * n by vector, scored anew, top n of those; ties by semantic score, then id."""
+def search(chunks: DataFrame, query: str, vector: list[float], r: Ranking = Ranking(), metric: str = "cosine", repo: str | None = None, chunk_type: str | None = None, id_col: str = "id", texts: DataFrame | None = None) -> DataFrame:
+    """Top oversample * n by vector, scored anew, top n of those; ties by semantic score, then id.
+
+    texts: the rows' other columns by id_col, where they are in a table of their own; they come to the candidates only, which are broadcast.
+    """
     near = knn(chunks, vector, r.max_results * r.oversample, metric, repo, chunk_type, id_col)
+    if texts is not None:
+        near = texts.join(F.broadcast(near), id_col)
     d = hybrid(near, query, r)
     if r.min_score is not None:
         d = d.filter(F.col("hybrid_score") >= r.min_score)

@@ -54,6 +54,14 @@ def vector_chunks(spark, sf) -> DataFrame:
     return c.withColumn("chunk_type", _pick(("function", "class", "method"), F.col("doc_id"))).withColumn("id", F.col("doc_id"))
 
 
+def _search(spark, sf, r: search.Ranking | None = None, **kw) -> DataFrame:
+    """Hybrid search: vectors are ranked first, texts fetched for the candidates."""
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.lit(REPO).alias("repo_path"))
+    e = e.withColumn("chunk_type", _pick(("function", "class", "method"), F.col("doc_id")))
+    texts = corpus(spark, sf).select("doc_id", "content", "lang", "file_path")
+    return search.search(e, TEXT, _query_vector(spark, sf), r or search.Ranking(), repo=REPO, id_col="doc_id", texts=texts, **kw)
+
+
 def _query_vector(spark, sf) -> list[float]:
     r = _table(spark, sf, "embeddings").filter(F.col("vec_id") == VECTOR).select("embedding").first()
     return list(r[0]) if r else [0.0]
@@ -282,22 +290,22 @@ def partial_word_match(spark, sf):
 
 @query(_search_sql())
 def hybrid_search(spark, sf):
-    return _result(search.search(vector_chunks(spark, sf), TEXT, _query_vector(spark, sf), repo=REPO))
+    return _result(_search(spark, sf))
 
 
 @query(_search_sql(n=10))
 def hybrid_search_rerank_limit(spark, sf):
-    return _result(search.search(vector_chunks(spark, sf), TEXT, _query_vector(spark, sf), search.Ranking(max_results=10), repo=REPO))
+    return _result(_search(spark, sf, search.Ranking(max_results=10)))
 
 
 @query(_search_sql("chunk_type = 'method'"))
 def chunk_type_filter(spark, sf):
-    return _result(search.search(vector_chunks(spark, sf), TEXT, _query_vector(spark, sf), repo=REPO, chunk_type="method"))
+    return _result(_search(spark, sf, chunk_type="method"))
 
 
 @query(_search_sql(minimum="h >= 0.5"))
 def min_score_filter(spark, sf):
-    return _result(search.search(vector_chunks(spark, sf), TEXT, _query_vector(spark, sf), search.Ranking(min_score=0.5), repo=REPO))
+    return _result(_search(spark, sf, search.Ranking(min_score=0.5)))
 
 
 @query(_search_sql().replace("select doc_id, file_path, round(s, 6) semantic_score, exact_match, round(h, 6) hybrid_score from best where true order by h desc, s desc, doc_id limit 5", """,
@@ -308,7 +316,7 @@ select doc_id, r || '. ' || file_path || ':1-' || len(l) || printf(' (score: %.3
 def format_results(spark, sf):
     from pyspark.sql import Window as W
 
-    d = search.search(vector_chunks(spark, sf), TEXT, _query_vector(spark, sf), repo=REPO)
+    d = _search(spark, sf)
     d = d.withColumn("r", F.row_number().over(W.orderBy(F.desc("hybrid_score"), F.desc("semantic_score"), "doc_id")))
     return d.select("doc_id", text.format_result(F.col("r"), F.col("file_path"), F.lit(1), F.size(text.lines(F.col("content"))), F.col("hybrid_score"), F.col("exact_match"), F.col("lang"), F.col("chunk_type"), F.col("content")).alias("line"))
 
