@@ -17,7 +17,7 @@ IGNORE = ("target/**", "build/**", "dist/**", "out/**", "node_modules/**", ".pnp
 
 #: Infixes and suffixes of the path classes, over the lower-cased path.
 TEST_DIRS = ("/test/", "/tests/", "/__tests__/", "/spec/")
-TEST_ENDS = (*[f"_test.{x}" for x in ("go", "js", "ts")], *[f".{k}.{x}" for k in ("test", "spec") for x in ("js", "ts", "jsx", "tsx")], "test.java", "tests.java")
+TEST_ENDS = ("_test.go", "_test.js", "_test.ts", ".test.js", ".test.ts", ".test.jsx", ".test.tsx", ".spec.js", ".spec.ts", ".spec.jsx", ".spec.tsx", "test.java", "tests.java")
 MAIN_DIRS = ("/src/main/", "/src/core/", "/lib/", "/pkg/", "/internal/")
 GENERATED = ("/vendor/", "/node_modules/", "/target/", "/build/", "/dist/", ".generated.", "_generated.")
 TEST_FACTOR, MAIN_FACTOR, GENERATED_FACTOR = 0.05, 1.3, 0.2

@@ -194,7 +194,7 @@ def units(code: str, language: str) -> list[Unit]:
         brace = s.body(m.end())
         if brace >= 0:
             bodies.add(brace)
-            add("class", m[1], m.start(), s.close[brace] + 1)
+            add("class", m[1], _annotated(flat, m.start()) if language == "java" else m.start(), s.close[brace] + 1)
     if language == "java":
         _java(s, bodies, add)
     else:
@@ -212,6 +212,13 @@ def units(code: str, language: str) -> list[Unit]:
     return out
 
 
+def _annotated(flat: str, head: int) -> int:
+    """Where the annotations and modifiers before a head begin."""
+    start = max(flat.rfind(c, 0, head) for c in ";}{") + 1
+    m = _LEADING.match(flat, start, head)
+    return m.end(1) if m else head
+
+
 def _java(s: _Scan, bodies: set[int], add) -> None:
     """Methods and constructors: a name and parentheses in a class body with a type, or the name of the class, before."""
     flat = s.flat
@@ -249,6 +256,7 @@ def _java(s: _Scan, bodies: set[int], add) -> None:
             add("method", m[1], head, flat.index(";", at) + 1)
 
 
+_LEADING = re.compile(r"(\s*+)(?:(?:@(?!interface\b)[\w.]+(?:\s*\([^()]*(?:\([^()]*\)[^()]*)*\))?|[a-z-]+)\s+)*\Z")
 _MODIFIERS = frozenset("public private protected static final abstract synchronized native default strictfp transient volatile sealed".split())
 
 

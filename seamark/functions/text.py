@@ -10,14 +10,35 @@ TOKEN = r"\w+|[^\w\s]"
 EMBED_CHARS = CHUNK_BYTES = 4000
 PREVIEW_LINES, PREVIEW_CHARS = 3, 80
 
-#: Lines that begin a unit of code, by language (over the trimmed line).
-_V, _S = r"(?:(?:public|private|protected)\s+)?", r"(?:static\s+)?"
-_JS = (r"export\s+(?:default\s+)?function\s+\w+", r"export\s+(?:default\s+)?class\s+\w+", r"export\s+(?:const|let|var)\s+\w+", r"(?:async\s+)?function\s+\w+",
-       r"class\s+\w+", r"(?:const|let|var)\s+\w+\s*=\s*(?:async\s+)?\([^)]*\)\s*=>")
+#: Lines that begin a unit of code, by language (over the trimmed line). Languages that no file
+#: extension leads to can be asked for by name.
 BOUNDARY = {
-    "java": (rf"{_V}{_S}class\s+\w+", rf"{_V}{_S}interface\s+\w+", rf"{_V}{_S}enum\s+\w+", rf"{_V}{_S}[\w<>\[\]]+\s+\w+\s*\([^)]*\)\s*\{{?", r"@\w+"),
-    "javascript": _JS,
-    "typescript": (*_JS, r"export\s+(?:interface|type)\s+\w+", r"interface\s+\w+", r"type\s+\w+\s*="),
+    "java": (
+        r"(?:(?:public|private|protected)\s+)?(?:static\s+)?class\s+\w+",
+        r"(?:(?:public|private|protected)\s+)?(?:static\s+)?interface\s+\w+",
+        r"(?:(?:public|private|protected)\s+)?(?:static\s+)?enum\s+\w+",
+        r"(?:(?:public|private|protected)\s+)?(?:static\s+)?[\w<>\[\]]+\s+\w+\s*\([^)]*\)\s*\{?",
+        r"@\w+",
+    ),
+    "javascript": (
+        r"export\s+(?:default\s+)?function\s+\w+",
+        r"export\s+(?:default\s+)?class\s+\w+",
+        r"export\s+(?:const|let|var)\s+\w+",
+        r"(?:async\s+)?function\s+\w+",
+        r"class\s+\w+",
+        r"(?:const|let|var)\s+\w+\s*=\s*(?:async\s+)?\([^)]*\)\s*=>",
+    ),
+    "typescript": (
+        r"export\s+(?:default\s+)?function\s+\w+",
+        r"export\s+(?:default\s+)?class\s+\w+",
+        r"export\s+(?:const|let|var)\s+\w+",
+        r"(?:async\s+)?function\s+\w+",
+        r"class\s+\w+",
+        r"(?:const|let|var)\s+\w+\s*=\s*(?:async\s+)?\([^)]*\)\s*=>",
+        r"export\s+(?:interface|type)\s+\w+",
+        r"interface\s+\w+",
+        r"type\s+\w+\s*=",
+    ),
     "go": (r"func\s+\w+", r"func\s+\([^)]*\)\s+\w+", r"type\s+\w+\s+(?:struct|interface)", r"(?:const|var)\s+\w+"),
     "python": (r"def\s+\w+", r"class\s+\w+", r"async\s+def\s+\w+", r"@\w+"),
     "rust": (r"(?:pub\s+)?fn\s+\w+", r"(?:pub\s+)?struct\s+\w+", r"(?:pub\s+)?enum\s+\w+", r"(?:pub\s+)?trait\s+\w+", r"(?:pub\s+)?impl"),
@@ -52,11 +73,6 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
 
 
-def long_enough(text: Column, least: int = 10) -> Column:
-    """At least so many bytes besides white space at the ends."""
-    return F.octet_length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) >= least
-
-
 def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, embedding, paths, text, vectors
 from ..operators import reconcile, scan, search, status, store
+from . import fixtures
 
 FOLDERS = ("src/main", "app/test", "node_modules/x", "docs", "cmd", "build", "internal", "web")
 TREE = ("src/main", ".git/hooks", "a/node_modules/lib", "docs", "cmd", "app/build", "vendor/x", "web/.cache")
@@ -58,6 +59,7 @@ def _search(spark, sf, r: search.Ranking | None = None, **kw) -> DataFrame:
     """Hybrid search: vectors are ranked first, texts fetched for the candidates."""
     e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.lit(REPO).alias("repo_path"))
     e = e.withColumn("chunk_type", _pick(("function", "class", "method"), F.col("doc_id")))
+    e = e.join(_table(spark, sf, "documents").select("doc_id"), "doc_id", "left_semi")
     texts = corpus(spark, sf).select("doc_id", "content", "lang", "file_path")
     return search.search(e, TEXT, _query_vector(spark, sf), r or search.Ranking(), repo=REPO, id_col="doc_id", texts=texts, **kw)
 
@@ -354,6 +356,48 @@ def boundary_lines(spark, sf):
     return d.groupBy("doc_id").agg(*[F.count_if(text.is_boundary(F.col("l"), k, compat=True)).alias(f"n_{k or 'fallback'}") for k in _BOUND])
 
 
+def _fixture_chunks(spark) -> DataFrame:
+    files = spark.createDataFrame([(REPO, path, language, code) for path, (language, code) in fixtures.FILES.items()], "repo_path string, file_path string, language string, content string")
+    return chunking.chunk_files(files)
+
+
+#: What the fixtures hold, written by hand: file, chunk type, function, class, first line, last line, in order.
+_UNITS = """
+('Cart.java', 0, 'class', '', 'Cart', 5, 22), ('Cart.java', 1, 'function', 'Cart', 'Cart', 8, 8), ('Cart.java', 2, 'function', 'group', 'Cart', 10, 15), ('Cart.java', 3, 'function', 'run', '', 13, 13),
+('Cart.java', 4, 'function', 'checkout', 'Cart', 17, 17), ('Cart.java', 5, 'class', '', 'Listener', 19, 19), ('Cart.java', 6, 'function', 'changed', 'Listener', 19, 19), ('Cart.java', 7, 'function', 'weight', 'Listener', 19, 19),
+('Cart.java', 8, 'class', '', 'Color', 21, 21), ('Cart.java', 9, 'function', 'shade', 'Color', 21, 21), ('Cart.java', 10, 'function', 'Color', 'Color', 21, 21),
+('shapes.ts', 0, 'function', 'first', '', 3, 3), ('shapes.ts', 1, 'function', 'load', '', 4, 6), ('shapes.ts', 2, 'function', 'add', '', 7, 7), ('shapes.ts', 3, 'class', '', 'Handler', 8, 8), ('shapes.ts', 4, 'class', '', 'Box', 9, 9),
+('shapes.ts', 5, 'class', '', 'Shape', 11, 13), ('shapes.ts', 6, 'class', '', 'Circle', 15, 21), ('shapes.ts', 7, 'function', 'constructor', 'Circle', 16, 16), ('shapes.ts', 8, 'function', 'build', 'Circle', 17, 17),
+('shapes.ts', 9, 'function', 'size', 'Circle', 18, 18), ('shapes.ts', 10, 'function', 'onClick', 'Circle', 19, 19),
+('util.js', 0, 'function', 'pick', '', 1, 3), ('util.js', 1, 'function', 'square', '', 4, 4), ('util.js', 2, 'function', 'cube', '', 5, 5), ('util.js', 3, 'function', 'parse', '', 7, 7), ('util.js', 4, 'function', 'run', '', 8, 8),
+('util.js', 5, 'function', '', '', 10, 10), ('util.js', 6, 'class', '', 'Queue', 11, 11), ('util.js', 7, 'function', 'push', 'Queue', 11, 11), ('util.js', 8, 'function', 'drain', 'Queue', 11, 11)"""
+_LARGE = f"select i::int i from generate_series(0, {fixtures.LARGE_METHODS - 1}) t(i)"
+
+
+@query(f"""select file_path, ordinal::int ordinal, chunk_type, function_name, class_name, start_line::int start_line, end_line::int end_line
+from (values {_UNITS}) t(file_path, ordinal, chunk_type, function_name, class_name, start_line, end_line)
+union all select 'Large.java', 0, 'class', '', 'Large', 1, {3 * fixtures.LARGE_METHODS + 2}
+union all select 'Large.java', i + 1, 'method', 'method' || i, 'Large', 3 * i + 2, 3 * i + 4 from ({_LARGE})""")
+def structural_chunks(spark, sf):
+    """Units of code fixtures; a class over the byte limit is a summary and its methods."""
+    return _fixture_chunks(spark).select("file_path", "ordinal", "chunk_type", "function_name", "class_name", "start_line", "end_line")
+
+
+@query(f"select 'Large.java' file_path, 'method' || i function_name, 'Large' parent_class, (3 * i + 2)::int start_line from ({_LARGE})")
+def method_parents(spark, sf):
+    """Methods of a large class with the class that their parent id leads to."""
+    c = _fixture_chunks(spark)
+    p = c.filter("chunk_type = 'class'").select(F.col("file_path").alias("p"), F.col("ordinal").alias("o"), F.col("class_name").alias("parent_class"))
+    return c.join(p, (F.col("file_path") == F.col("p")) & (F.col("parent_ordinal") == F.col("o"))).select("file_path", "function_name", "parent_class", "start_line")
+
+
+@query(f"""with m as (select i, '  public int method' || i || '(int value) {{' s from ({_LARGE}))
+select 'Large.java' file_path, 'public class Large {{' || chr(10) || 'Methods:' || chr(10) || string_agg(s, chr(10) order by i) || chr(10) || '  ... and {fixtures.LARGE_METHODS - 20} more methods' as content from m where i < 20""")
+def class_summaries(spark, sf):
+    """The summary of a large class: its head, twenty signatures, and how many more."""
+    return _fixture_chunks(spark).filter("file_path = 'Large.java' and chunk_type = 'class'").select("file_path", "content")
+
+
 @query()
 def token_chunks(spark, sf):
     c = corpus(spark, sf).withColumn("language", paths.language(F.col("file_path")))
