@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import let, words
 
 BUCKETS = 16384
-#: Mean log ratio under which a text is dropped: about 6 % less likely under the target an n-gram.
-THRESHOLD = -0.06
+#: Mean log ratio under which a text is dropped: about 5 % less likely under the target an n-gram.
+THRESHOLD = -0.05
+#: A bucket's ratio is drawn to 1 as if it held so many more n-grams of a target that is like the corpus.
+PRIOR = 16.0
 ORDER = 5
 #: Most documents labelled good that the target is learnt from: those of the least hash of their id. Their ids, 8 bytes each, are broadcast.
 TARGET_DOCS = 20_000
@@ -38,8 +40,8 @@ def ngram_buckets(ws: Column, buckets: int = BUCKETS) -> Column:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> list[float]:
-    """log p_target - log p_raw of every bucket, add-one smoothed; at most
-    ``buckets`` rows reach the driver. Without labelled documents all are 0.
+    """log p_target - log p_raw of every bucket, smoothed by ``PRIOR``, so that what a small target
+    hasn't seen tells little; at most ``buckets`` rows reach the driver. Without labelled documents all are 0.
     """
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     good = F.broadcast(good.orderBy(F.xxhash64("_id"), "_id").limit(target_docs))
@@ -52,8 +54,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targe
     raw, target = count(docs.select("text")), count(lab.select("text"))
     if not target:
         return [0.0] * buckets
-    n, m = sum(target.values()) + buckets, sum(raw.values()) + buckets
-    return [math.log((target.get(i, 0) + 1) / n) - math.log((raw.get(i, 0) + 1) / m) for i in range(buckets)]
+    n, m = sum(target.values()), sum(raw.values()) + buckets
+    like = [n * (raw.get(i, 0) + 1) / m for i in range(buckets)]
+    return [math.log((target.get(i, 0) + PRIOR) / (like[i] + PRIOR)) for i in range(buckets)]
 
 
 def _covered(ws: Column, order: int) -> Column:
