@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import fresh, words
 
 #: Ranges of the seeded order in which a source's fractional repetition is drawn.
 SLICES = 4096
@@ -54,33 +54,35 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), max_epochs: float = 3.0, share
     to its target rounded down. Null and blank texts have size 0 and take 0.
     Running sums go through ``SLICES`` ranges of the seeded order, so no task gets
     a whole source. Repeated rows follow each other in that order; which of two equal rows
-    comes first makes no difference to the result as a set.
+    comes first makes no difference to the result as a set. Rows without doc_id are ordered by
+    their text. Input columns with the name of a result are replaced by it; an empty table gives no rows.
     """
     size = F.size(words(F.col("text"))) if size is None else size
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = docs.withColumn("size", size.cast("long")).withColumn("_key", key)
-    d = d.withColumn("_slice", (F.conv(F.substring("_key", 1, 3), 16, 10)).cast("int"))
-    slices = d.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
-    run = W.partitionBy("source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("_start", F.coalesce(F.sum("_n").over(run), F.lit(0)))
-    targets = source_targets(slices.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, max_epochs, share)
+    key_, slice_, source_, range_, start_, at_ = fresh(docs, "_key", "_slice", "_source", "_range", "_start", "_at")
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
+    d = docs.drop("source_size", "target", "taken").withColumn("size", size.cast("long")).withColumn(key_, key)
+    d = d.withColumn(slice_, (F.conv(F.substring(key_, 1, 3), 16, 10)).cast("int"))
+    slices = d.groupBy("source", F.col(slice_).alias("slice")).agg(F.sum("size").alias("n"))
+    run = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("start", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    targets = source_targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs, share)
     slices = (slices.alias("a").join(targets.alias("t"), F.expr("a.source <=> t.source"))
-              .select(F.col("a.source").alias("_source"), F.col("_slice").alias("_s"), "_start", "source_size", "target"))
-    d = d.join(slices, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_s")))
-    within = W.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("_at", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+              .select(F.col("a.source").alias(source_), F.col("slice").alias(range_), F.col("start").alias(start_), "source_size", "target"))
+    d = d.join(slices, F.col("source").eqNullSafe(F.col(source_)) & (F.col(slice_) == F.col(range_)))
+    within = W.partitionBy("source", slice_).orderBy(key_, "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn(at_, F.col(start_) + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rest = F.floor(F.col("target")) - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_at")))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col(at_)))
     taken = (whole * F.col("size") + part).cast("long")
-    return d.withColumn("taken", taken).drop("_key", "_slice", "_source", "_s", "_start", "_at")
+    return d.withColumn("taken", taken).drop(key_, slice_, source_, range_, start_, at_)
 
 
 #: The same for DuckDB.
 SQL = r"""
 with d as (
   select doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as bigint) size,
-         md5('mix-1:' || coalesce(cast(doc_id as varchar), '')) k from documents),
+         md5('mix-1:' || coalesce(cast(doc_id as varchar), text, '')) k from documents),
 s as (select source, sum(size)::bigint source_size from d group by source),
 w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by encode(source) nulls last)) - 1) % 3 + 1]::double w, 3.0::double * source_size cap from s),
 l as (select *, ((select sum(source_size) from s)::double - coalesce(sum(cap) over (order by cap / w, encode(source) nulls last rows between unbounded preceding and 1 preceding), 0))
