@@ -299,7 +299,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """docs with the least doc_id of each class; rows without doc_id stay, and of
-    repeated rows with a doc_id all stay."""
-    c = near_classes(docs, **kw).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(c, docs["doc_id"].cast("long") == c["_id"], "left_anti")
+    """docs with one row of the least doc_id of each class; rows without doc_id stay. Of rows that share
+    a kept doc_id one stays (which, if they aren't equal, is open). All columns stay, whatever their names."""
+    c = stored(near_classes(docs, **kw).filter("doc_id is not null").groupBy("doc_id")
+               .agg(F.max(F.col("doc_id") != F.col("class_id")).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"), "gone")
+    on = F.expr("cast(d.doc_id as bigint) = c.doc_id")
+    left = docs.alias("d").join(c.select("doc_id").alias("c"), on, "left_anti")
+    again = c.filter("not gone").select("doc_id")
+    if not again.limit(1).count():
+        return left
+    return left.unionByName(docs.alias("d").join(again.alias("c"), on, "left_semi").dropDuplicates(["doc_id"]))
