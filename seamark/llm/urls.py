@@ -8,16 +8,20 @@ trust is blocked. All Column code; tables by host, never by page, are iterated.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DAMPING, ROUNDS, CHANGE = 0.85, 12, 1e-6
+DAMPING = 0.85
+#: Iterations go on until the mass that is still moving, of 1, is less than this.
+REST = 1e-6
 BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -53,34 +57,30 @@ def first_fit(path: Column) -> Column:
     return F.get(F.filter("rules", lambda r: F.startswith(path, r["rule_path"])), F.lit(0))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, change: float = CHANGE) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rest: float = REST) -> DataFrame:
     """host, rank: personalised PageRank over edges(src, dst, n) from seeds(host, mass).
 
-    Masses are scaled to sum to 1; what ends in hosts without links returns to the seeds.
-    Stops after ``rounds`` or when the ranks' total change is below ``change``.
+    Masses are scaled to sum to 1; what ends in hosts without links returns to the seeds. The rank is the
+    series of the mass after 0, 1, 2, ... damped steps, scaled to sum to 1 (what returns to the seeds
+    only scales it). Steps go on until the moving mass is below ``rest``, which damping
+    ensures: after 85 steps at the most for the defaults, however long the graph's chains are.
     """
     all_mass = seeds.agg(F.sum("mass")).first()[0] or 0.0
-    seeds = seeds.filter("mass > 0").select("host", (F.col("mass") / (all_mass or 1.0)).alias("seed"))
+    seeds = seeds.filter("mass > 0").select("host", (F.col("mass") / (all_mass or 1.0)).alias("rank"))
     if not all_mass or edges.limit(1).count() == 0:
-        return seeds.select("host", F.col("seed").alias("rank"))
+        return seeds
     out = edges.groupBy("src").agg(F.sum("n").alias("_all"))
-    prob = stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("p")), "links")
-    seeds = stored(seeds, "seeds")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        flow = prob.join(rank, prob["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("flow"))
-        flow = stored(flow, "flow")
-        lost = 1.0 - (flow.agg(F.sum("flow")).first()[0] or 0.0)
-        new = flow.join(seeds, flow["dst"] == seeds["host"], "full").select(
-            F.coalesce("dst", "host").alias("host"),
-            (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping + damping * lost) * F.coalesce("seed", F.lit(0.0))).alias("rank"))
-        new = stored(new, "rank")
-        old = rank.select(F.col("host").alias("_h"), F.col("rank").alias("_r"))
-        moved = new.join(old, F.col("host") == F.col("_h"), "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("_r", F.lit(0.0))))).first()[0]
-        rank = new
-        if moved < change:
-            break
-    return rank
+    prob = stored(edges.join(out, "src").select("src", "dst", (damping * F.col("n") / F.col("_all")).alias("p")), "links")
+    moving = stored(seeds.select("host", "rank", F.lit(0).alias("step")), "mass")
+    steps, left = [moving], 1.0
+    while left >= rest:
+        flow = prob.join(moving, prob["src"] == moving["host"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("rank"))
+        moving = stored(flow.select(F.col("dst").alias("host"), "rank", F.lit(len(steps)).alias("step")), "mass")
+        left = moving.agg(F.sum("rank")).first()[0] or 0.0
+        steps.append(moving)
+    rank = stored(reduce(DataFrame.unionAll, steps).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
+    total = rank.agg(F.sum("rank")).first()[0]
+    return rank.select("host", (F.col("rank") / total).alias("rank"))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -95,7 +95,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     verdict is the rule's action where one fits, else block if the page's host has more distrust
     than trust, else allow (also for hosts nothing is known of, and for urls without host). Null
-    html has no links.
+    html has no links. Repeated rows come again and count again; an empty table gives no rows; columns other
+    than page_id, url and html are ignored. Pages are read whole, in time linear in their length.
     """
     spark = pages.sparkSession
     d = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
