@@ -1,4 +1,7 @@
-"""Known licence texts and spellings. Public texts, quoted as published."""
+"""Known licence texts and spellings. Public texts, quoted as published; the long ones are
+files of the folder texts, by licence id."""
+
+from pathlib import Path
 
 _WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -29,6 +32,8 @@ Permission is granted to anyone to use this software for any purpose, including
     "notice:CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
+KNOWN |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))}
+
 #: Spellings that count as the same word; each goes to the one on the right.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),

@@ -6,8 +6,6 @@ spelling of equivalent words, single spaces); its digest is joined with those of
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +44,8 @@ def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
     license_id is that of the known text that the whole text equals in canonical form, else null; notices are the
     ids of known texts that one of its lines equals, sorted, joined by commas, null if none. Null and
     empty texts have the digest of the empty text and no licence. The known texts, a fixed list, are broadcast.
+    Texts are read whole, however long. Repeated rows come again, rows that share a doc_id share their notices; an
+    empty table gives none; other columns are ignored.
     """
     ids = known_digests(docs.sparkSession, known)
     whole = F.broadcast(ids.withColumnRenamed("digest", "_d"))
@@ -76,8 +76,3 @@ l as (select doc_id, {form('line')} d from (select doc_id, unnest(string_split(t
 h as (select doc_id, array_to_string(list_sort(list(distinct k.id)), ',') notices from l join k using (d) group by doc_id)
 select d.doc_id, d.digest, k.id license_id, h.notices from d left join k on d.digest = k.d left join h on d.doc_id is not distinct from h.doc_id
 """
-
-
-def digest_of(form: str) -> str:
-    """Digest of a text that is canonical already."""
-    return hashlib.sha256(form.encode()).hexdigest()
