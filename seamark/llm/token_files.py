@@ -28,35 +28,50 @@ VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 #: Fixed value: the pattern that goes with that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 1 << 20
+#: Largest vocabulary file that is broadcast.
+VOCABULARY_BYTES = 32 << 20
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-    """A tiktoken encoding of a rank file, one a process."""
+def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN, ranks: bytes | None = None):
+    """A tiktoken encoding of a rank file, one a process; ranks: the file's content, where it isn't at hand."""
     if vocabulary not in _ENCODERS:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        if ranks is None:
+            with open(vocabulary, "rb") as f:
+                ranks = f.read()
+        own = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        _ENCODERS[vocabulary] = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=pattern, mergeable_ranks=own, special_tokens={})
     return _ENCODERS[vocabulary]
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """A file system that Arrow knows, and the path there; s3a and s3n are s3 to it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    scheme, _, rest = path.partition(":")
+    try:
+        return pafs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else path)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token files can't be kept at {path}: Arrow knows no {scheme} store") from e
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, width: int = 2) -> DataFrame:
     """Tokenises docs (doc_id, text) into one flat file a partition and says which
     document went where: file, ordinal, doc_id.
 
-    A null text has no tokens. A file appears under its name only when whole, so a
-    task that runs again replaces it with the same. The work is done when the result is
-    first computed: store it.
+    A null text has no tokens; texts are read whole, however long. A file appears under its name only when
+    whole; a task that runs again leaves the same there. The work is done when the result is
+    first computed: store it. The vocabulary is read by the driver and broadcast; it is a few MB at most.
     """
     if end >= 1 << (8 * width):
         raise ValueError("the end id does not fit the width")
     kind = f"<u{width}"
+    if os.path.getsize(vocabulary) > VOCABULARY_BYTES:
+        raise ValueError(f"the vocabulary has more than {VOCABULARY_BYTES} bytes")
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(path)
@@ -64,7 +79,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
         part = TaskContext.get()
         name = f"part-{part.partitionId():06d}.bin"
         temp = f"{root}/.{name}.{part.taskAttemptId()}"
-        enc, n, out = encoder(vocabulary), 0, None
+        enc, n, out = encoder(vocabulary, ranks=ranks.value), 0, None
         for b in batches:
             out = out or fs.open_output_stream(temp)
             for t in b.column(1).to_pylist():
@@ -75,7 +90,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
             n += b.num_rows
         if out:
             out.close()
-            fs.move(temp, f"{root}/{name}")
+            try:
+                fs.move(temp, f"{root}/{name}")
+            except OSError:  # some stores don't replace what an earlier attempt left, which is the same
+                if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.File:
+                    raise
+                fs.delete_file(temp)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file string, ordinal long, doc_id long")
 
@@ -119,8 +139,10 @@ def scan_token_files(spark: SparkSession, path: str, end: int = END, width: int
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_tokens, file, ordinal for every row of docs, by way of token files
-    in the shared folder."""
+    """doc_id, n_tokens, file, ordinal for every row of docs, by way of token files in the shared folder.
+
+    Null and empty texts have 0 tokens, repeated rows come again, an empty table gives none; other columns are ignored.
+    """
     path = scratch(docs.sparkSession, "tokens")
     where = stored(write_token_files(docs, path, vocabulary, end, width), "token-index")
     if where.limit(1).count() == 0:
