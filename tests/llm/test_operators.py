@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty, long and repeated rows."""
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -152,23 +153,38 @@ def test_water_filling(spark):
     assert t["a"] == 30 and t["b"] == 300 and t["c"] == pytest.approx(780) and t[None] == 0
 
 
+def greedy(text, train):
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i:i + k + 1] in train:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+def test_language_letters_and_long_texts():
+    r = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 10_000)] + list("abcdefgh")
+    train = {"han": " ".join("".join(letters[i:i + 5]) for i in range(0, 10_000, 5)), "lat": " ".join("".join(r.choice(list("abcdefgh"), 5)) for _ in range(800))}
+    m = langid.Model(train)
+    assert m.alphabet > 10_000
+    long = " ".join("".join(r.choice(letters[:40] + list("abcdefgh"), int(r.integers(1, 9)))) for _ in range(20_000))
+    texts = [long[:100_000], long[:4096], long[:4097], "".join(letters[500:9500]), "abc" * 3000, "Ω≈ç abcd"]
+    got = m.phrases([m.codes(t) for t in texts])
+    clean = [re.sub(r"[\W\d_]+", " ", t.lower()) for t in texts]
+    assert got.tolist() == [[greedy(t, train["han"]), greedy(t, train["lat"])] for t in clean]
+    lang, score = m.predict(["² ½ ³", "ⅷ", "١٢٣", None, "", letters[7], "ª"])
+    assert lang == ["und"] * 5 + ["han", "han"] and all(0 <= x <= 1 for x in score)
+
+
 def test_languages(spark, none):
     m = langid.Model({"aa": "abab abba baab abab", "zz": "zyzy xyzx zzyx yxzy"})
     lang, score = m.predict(["abba", "zyx", None, "", "123 !", "ABBA " * 3000])
     assert lang == ["aa", "zz", "und", "und", "und", "aa"] and all(0 <= s <= 1 for s in score)
 
-    def greedy(text, train):
-        n = i = 0
-        while i < len(text):
-            k = 1
-            while i + k < len(text) and text[i:i + k + 1] in train:
-                k += 1
-            n, i = n + 1, i + k
-        return n
-
     for t in ("abba baab", "zyx ab", "qq abq", "xyzx zyzy"):
-        got = m.phrases([t])[0][0].tolist()
-        assert got == [greedy(t, "abab abba baab abab"), greedy(t, "zyzy xyzx zzyx yxzy")]
+        assert m.phrases([m.codes(t)])[0].tolist() == [greedy(t, "abab abba baab abab"), greedy(t, "zyzy xyzx zzyx yxzy")]
     assert langid.identify(none).count() == 0
     d = spark.createDataFrame([(i, t, x, "clash") for i, (t, x) in enumerate([("abab", "aa"), ("zyzy", "zz"), (None, "aa"), ("baab", None)] * 5)], "doc_id long, text string, lang string, score string")
     assert {(r.text, r.lang_pred) for r in langid.identify(d).collect()} == {("abab", "aa"), ("zyzy", "zz"), (None, "und"), ("baab", "aa")}
@@ -198,8 +214,61 @@ def test_wrappers(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in wrappers.main_text(d).collect()}
     assert got[2] == ("Head & more First 2 Second para", 31) and got[10] == got[11] == ("", 0) and got[12] == ("Only é text", 11)
     assert wrappers.main_text(d.limit(0)).count() == 0
-    w = wrappers.align(wrappers.stream(wrappers.blocks("<ul><li>a</li><li>b</li></ul><p>x</p>")), wrappers.stream(wrappers.blocks("<ul><li>a</li></ul><h2>t</h2><p>y</p>")))
-    assert ["+", ["li", ["#", "ul/li", None], "/li"]] in w or any(isinstance(x, list) for x in w)
+
+
+def one(*pages):
+    """Texts of pages of one host, without what recurs, and its wrapper."""
+    w = wrappers.Wrapper()
+    for p in pages:
+        w.add(wrappers.Page(p))
+    w = wrappers.Wrapper.load(w.dump())
+    return [" ".join(wrappers.main_blocks(wrappers.Page(p), w)) for p in pages], w.regex
+
+
+def test_alignment():
+    slot = ["#", []]
+    li = ["+", [["li", [slot]]]]
+    _, w = one("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><h2>t</h2><p>y</p>")
+    assert w == [["ul", [li]], ["?", [["h2", [slot]]]], ["p", [slot]]]
+    _, w = one("<div class=top-1>a</div><div class=x><h2>t</h2><p>a</p><p>b</p><h2>u</h2><p>c</p><p>d</p></div>", "<div class=x><p>e</p></div>")
+    group = ["+", [["h2", [slot]], ["+", [["p", [slot]]]]]]
+    assert w == [["?", [["div.top-", [slot]]]], ["div.x", [["?", [group]], ["?", [["p", [slot]]]]]]]
+    many = "".join(f"<h{i % 5 + 1}>t</h{i % 5 + 1}><section class=c{chr(97 + i % 26)}>{'<p>x' * (i % 3)}y</section>" for i in range(200))
+    _, w = one(many, "<h1>z</h1>")
+    assert w[0][0] == "*" and {x[0] for x in w[0][1]} == {f"h{i}" for i in range(1, 6)} | {f"section.c{chr(97 + i)}" for i in range(26)}
+    assert wrappers.match(w, wrappers.Page("<h1>z</h1><h3>q</h3>").folded) == [0, 2]
+    page = wrappers.Page("<ul><li>a</li><li>b</li></ul><p>x</p>").folded
+    w = json.loads(json.dumps([["ul", [li]], ["?", [["h2", [slot]]]], ["p", [slot]]]))
+    assert wrappers.match(w, page) == [0, 2]
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<body class='has-sidebar'><p>Text</p></body>", "Text"),
+    ("<article data-id='share-9'><p>Text</p></article>", "Text"),
+    ("<article id=share-9><p>Text</p></article>", "Text"),
+    ("<article><p>One <span class='ad'>Buy <span>now</span></span> two</p><p>Three</p></article>", "One two Three"),
+    ("<article><p data-x=\"unbalanced>Text</p><p class=\"z\">More</p></article>", "Text More"),
+    ("<article><p>Text</p><div class='user-feedback'><p>Nice</p></div><div id=remarks>Bad</div><section class='comment-list'>No</section></article>", "Text"),
+    ("<div class=bar><a href=/>Home</a></div><p>Text</p><p>Copyright 0</p><div>&copy; me</div>", "Text"),
+    ("<article><h2>Ad astra</h2><p class='article-header'>Kept</p><p class=lead>a &lt; b <b>c</b>d</p></article>", "Ad astra Kept a < b cd"),
+    ("<main><article><p>A</p><article class=comment>Nice</article></article></main>", "A"),
+    ("<p title='a>b'>Text</p><!-- <p>no --><p>5 < 6", "Text 5 < 6"),
+    ("<article><p>x</article></div></p><script>if (a<b) '</p>'", "x"),
+    ("", ""), (None, ""), ("   ", ""), ("<article></article>", ""),
+])
+def test_pages(page, text):
+    assert one(page)[0] == [text]
+
+
+def test_pages_of_any_length():
+    import time
+
+    for page in ("<b " * 350_000, "<b \"" * 250_000, "<p data-x=\"a>T</p>" * 50_000, "<div>" * 200_000 + "x", "</x>" * 250_000, "<svg " * 200_000, "<a href='" * 110_000):
+        start = time.process_time()
+        wrappers.Page(page)
+        assert time.process_time() - start < 5, page[:20]
+    long = "<article>" + "".join(f"<p>word {i}</p>" for i in range(20_000)) + "</article>"
+    assert one(long)[0][0] == " ".join(f"word {i}" for i in range(20_000))
 
 
 def test_wrappers_whole_pages(spark):
@@ -252,13 +321,3 @@ def test_license_notice_after_all_rights_reserved(spark):
     assert got == sorted((i, x, n) for i, _, x, n in c.execute(licenses.sql()).fetchall())
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    spark.createDataFrame(rows(), DOCS).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, "q " * 20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert {"doc_id", "text", "lang", "source", "n_chars", "taken"} <= set(got.columns)
-    ids = {r.doc_id for r in got.select("doc_id").collect()}
-    assert 70 not in ids and len(ids & set(range(60, 70))) <= 1
-    assert got.filter(F.col("taken") > 3 * F.col("size")).count() == 0
