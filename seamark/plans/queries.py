@@ -7,6 +7,8 @@ every kind of extension occurs. Vectors are those of the table embeddings.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -346,7 +348,7 @@ def token_count(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
 
 
-_BOUND = {k: text.boundary_pattern(k, compat=True) for k in ("python", "javascript", "go", "")}
+_BOUND = {k: text.boundary_pattern(k, compat=True) for k in text.BOUNDARY}
 
 
 @query("select doc_id, " + ", ".join(f"count(*) filter (regexp_matches(l, '{p}')) n_{k or 'fallback'}" for k, p in _BOUND.items())
@@ -455,9 +457,19 @@ def embed_time_estimate(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.round(embedding.estimate_seconds(text.line_count(F.col("text"))), 6).alias("seconds"))
 
 
-@query("""with t as (select doc_id, md5(unnest(regexp_extract_all(lower(substr(text, 1, 4000)), '\\w+'))) h from documents),
+_HASHED = """with t as (select doc_id, md5(unnest(regexp_extract_all(lower(substr(text, 1, 4000)), '\\w+'))) h from documents),
 s as (select doc_id, ('0x' || substr(h, 1, 6))::int % 64 dim, sum(case when ('0x' || substr(h, 7, 1))::int % 2 = 0 then 1 else -1 end)::double x from t group by 1, 2),
-n as (select doc_id, sqrt(sum(x * x)) n from s group by 1)
-select doc_id, dim::int dim, round(x / n, 6) x from s join n using (doc_id) where x <> 0""")
+n as (select doc_id, sqrt(sum(x * x)) n from s group by 1)"""
+
+
+@query(_HASHED + " select doc_id, dim::int dim, round(x / n, 6) x from s join n using (doc_id) where x <> 0")
 def embed_hash(spark, sf):
     return embedding.hashed_components(_table(spark, sf, "documents"), "doc_id", "text", 64)
+
+
+@query(_HASHED + " select doc_id, dim::int dim, sign(x)::int sign from s join n using (doc_id) where x <> 0")
+def embed_documents(spark, sf):
+    """The engine's own embedder on every document: which components it sets, and their sign."""
+    v = embedding.embed_column(partial(embedding.HashEmbedder, 64), F.col("text"))
+    d = _table(spark, sf, "documents").select("doc_id", F.posexplode(v).alias("dim", "x")).filter("x <> 0")
+    return d.select("doc_id", "dim", F.signum("x").cast("int").alias("sign"))
