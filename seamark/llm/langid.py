@@ -34,6 +34,7 @@ CELLS = 8_000_000
 #: Bytes of text that one vectorised step takes.
 STEP_BYTES = 6_000_000
 _FAIL = np.int32(1 << 30)
+_WIDTH = np.int32(DENSE)
 #: Planes of Unicode that hold letters.
 _CHARS = 0x40000
 
@@ -97,7 +98,9 @@ class Automaton:
     def step(self, state: np.ndarray, code: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
         """The entries for states and codes; rare: where the code is DENSE or more."""
         if rare is None or not len(rare):
-            return self.dense.take(state * DENSE + code)
+            at = state * _WIDTH
+            at += code
+            return self.dense.take(at)
         v = self.dense.take(state * DENSE + np.minimum(code, DENSE - 1))
         c = code[rare].astype(np.int64)
         if len(self.keys):
@@ -164,20 +167,21 @@ class Model:
             active = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")
             rare = [np.flatnonzero(row) for row in grid >= DENSE] if int(grid.max(initial=0)) >= DENSE else None
             # Pieces of texts of more than one: where their phrases begin is kept.
-            parts = [k for k, j in enumerate(own) if len(coded[who[j]]) > PIECE]
+            parts = np.array([k for k, j in enumerate(own) if len(coded[who[j]]) > PIECE], np.int64)
+            held = np.searchsorted(parts, active)  # how many of them are active, by step
             for li, table in enumerate(self.tables):
                 at = np.full(len(own), table.begin, np.int32)
                 count = np.zeros(len(own), np.int32)
-                new = np.zeros((int(n[0]), len(parts)), bool) if parts else None
+                new = np.zeros((int(n[0]), len(parts)), bool) if len(parts) else None
                 for step in range(int(n[0])):
                     m = int(active[step])
                     v = table.step(at[:m], grid[step, :m], None if rare is None else rare[step])
                     fail = v >> 30
                     count[:m] += fail
                     np.bitwise_and(v, _FAIL - 1, out=at[:m])
-                    if parts:
-                        w = int(np.searchsorted(parts, m))
-                        new[step, :w] = fail[parts[:w]]
+                    if new is not None:
+                        w = held[step]
+                        new[step, :w] = fail.take(parts[:w])
                 single = np.ones(len(own), bool)
                 single[parts] = False
                 np.add.at(out[:, li], who[own[single]], count[single])
@@ -255,24 +259,24 @@ def sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_chars: int = SAMPLE_CHA
     return {lang: "\n".join(t)[:n_chars] for lang, t in out.items()}
 
 
-def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
-    """docs with lang_pred and score (0 to 1).
+def identify(docs: DataFrame, texts: dict[str, str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (0 to 1), or other names for these.
 
     Null, empty and letterless texts are und with score 0. Equal texts get equal results, repeated
     rows come again, an empty table gives none. With no labelled text at all everything is und. Texts
-    are parsed whole, however long. Input columns lang_pred and score are replaced, others stay.
+    are parsed whole, however long. Input columns of those names are replaced, others stay.
     """
     texts = sample(docs) if texts is None else texts
     shared = docs.sparkSession.sparkContext.broadcast(texts)
     name = hash(tuple(sorted(texts.items())))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", STEP_BYTES):
             model = kept(name, lambda: Model(shared.value))
             lang, score = model.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     d = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + f", `{names[0]}` string, `{names[1]}` double"
     return d.mapInArrow(lambda batches: lean(run(batches), keep=True), schema)
