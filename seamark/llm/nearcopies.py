@@ -42,6 +42,8 @@ DIFFERENT_BITS = 40
 PARITY_WORDS, WIDE_WORDS = 8, 32
 #: Other texts of its bucket that a text is compared with in a round before the last.
 PIVOTS = 4
+#: Rows of a bucket's block in the last round.
+BLOCK_ROWS = 1000
 #: Bytes of text that one vectorised step takes.
 STEP_BYTES = 2_000_000
 #: Word hashes that a worker keeps from one step to the next.
@@ -279,11 +281,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
             pick = pick.select("band", "key", F.explode(F.array_distinct("y")).alias("y"))
             pairs = mine.join(pick, ["band", "key"]).filter((F.col("x.cls") != F.col("y.cls")) & plausible("x", "y") & (bits <= differ))
         else:  # all that is still apart, each pair in the first bucket that it shares
-            mine = mine.select("band", "key", F.struct("id", "cls", *about, "keys", "wide").alias("x"))
-            other = mine.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.col("x").alias("y"))
+            # A large bucket is cut into blocks, and each pair of blocks is joined on its own.
+            cut = mine.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+            mine = mine.join(cut, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            mine = mine.select("band", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.struct("id", "cls", *about, "keys", "wide").alias("x"))
+            other = mine.select(F.col("band").alias("_b"), F.col("key").alias("_k"), F.col("other").alias("_x"), F.col("block").alias("_y"), F.col("x").alias("y"))
             shared = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True)
-            pairs = mine.join(other, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.cls") != F.col("y.cls"))
-                              & plausible("x", "y") & (bits <= differ) & (shared == F.col("band") + 1))
+            pairs = mine.join(other, (F.col("band") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("block") == F.col("_x")) & (F.col("other") == F.col("_y"))
+                              & (F.col("x.id") > F.col("y.id")) & (F.col("x.cls") != F.col("y.cls")) & plausible("x", "y") & (bits <= differ) & (shared == F.col("band") + 1))
         pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
         pairs = stored(pairs.select("a", "b").distinct(), "pairs")
         more = stored(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity), "links")

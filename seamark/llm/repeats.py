@@ -40,7 +40,7 @@ LENGTH = 100
 #: Positions hashed in one vectorised step, few enough for a processor's cache.
 STEP = 1 << 15
 #: Entries of a bucket to aim at, entries sorted at a time, and bytes of text of a block (a longer text is a block of its own).
-BUCKET, SORTED = 4_000_000, 1_000_000
+BUCKET, SORTED = 4_000_000, 500_000
 BLOCK = 4 << 20
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -126,9 +126,9 @@ class _Block:
         """Digests of the texts, and the least id of each."""
         return b"".join(self.first), np.array([self.docs[k][0] for k in self.first.values()], np.int64)
 
-    def lay(self, gone: frozenset = frozenset(), least: int = 1) -> None:
-        """Lays out the texts of at least that many bytes of which no earlier copy is known."""
-        self.own = [k for d, k in self.first.items() if d not in gone and len(self.docs[k][1]) >= least]
+    def lay(self, least: int) -> None:
+        """Lays out the texts of at least that many bytes."""
+        self.own = [k for k in self.first.values() if len(self.docs[k][1]) >= least]
         texts = [self.docs[k][1] for k in self.own]
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
@@ -155,24 +155,28 @@ class _Block:
         sizes = np.diff(self.sample_heads, append=len(self.sample_keys))
         hit = self.sample_at[np.repeat(shared | (sizes > 1), sizes)]
         n = len(self.data)
-        edge = np.zeros(n + 2, np.int32)
-        np.add.at(edge, np.maximum(hit - (length - short), 0), 1)
-        np.add.at(edge, hit + 1, -1)
-        self.places = self.fits(np.flatnonzero(np.cumsum(edge[:n], dtype=np.int32) > 0), length).astype(np.int32 if n < 1 << 31 else np.int64)
-        del edge, hit
-        cuts = np.searchsorted(self.places, np.arange(0, n + STEP, STEP))
-        keys, other = np.empty(len(self.places), np.uint64), np.empty(len(self.places), np.uint32)
-        for i, lo in enumerate(range(0, n, STEP)):
-            a, b = cuts[i], cuts[i + 1]
-            if a < b:
+        # Where the reach of a sample begins and ends; no two begin at one place but the first ones at 0.
+        edge = np.zeros(n + 2, np.int8)
+        np.add.at(edge, np.maximum(hit - (length - short), 0), np.int8(1))
+        np.add.at(edge, hit + 1, np.int8(-1))
+        del hit
+        own, depth = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint32))], 0
+        for lo in range(0, n, STEP):  # a step at a time, so that only what may repeat is held
+            within = np.cumsum(edge[lo:min(lo + STEP, n)], dtype=np.int32) + depth
+            depth = int(within[-1])
+            p = self.fits(np.flatnonzero(within > 0) + lo, length)
+            if len(p):
                 h, g = fingerprints(self.data[lo:lo + STEP + length - 1], length)
-                p = self.places[a:b] - lo
-                keys[a:b], other[a:b] = h[p], g[p] >> _HALF
+                own.append((p.astype(np.int32 if n < 1 << 31 else np.int64), h[p - lo], (g[p - lo] >> _HALF).astype(np.uint32)))
+        del edge
+        self.places, keys, other = (np.concatenate(x) for x in zip(*own))
+        del own
         by = np.argsort(keys)
         keys = keys[by]
         heads = _heads(keys)
         self.firsts = np.minimum.reduceat(self.places[by], heads) if len(heads) else self.places
         self.keys, self.other = keys[heads], other[by[heads]]
+        self.sample_at = self.sample_keys = None  # not needed any more
 
     def deal(self, n: int) -> np.ndarray:
         """Sorts the distinct strings by bucket; where each of n buckets begins."""
@@ -296,7 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     def send_samples(part):
         b, rows = part
         block = _Block(rows)
-        block.lay(least=length)
+        block.lay(length)
         block.samples(short)
         u = block.sample_keys[block.sample_heads]
         cut = _cut(u, n1)
@@ -339,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         """The block with its strings that may repeat."""
         block = _Block(rows)
         block.gone = frozenset(x[i:i + 16] for kind, _, x, _ in told if kind == 1 for i in range(0, len(x), 16))
-        block.lay(least=length)
+        block.lay(length)
         block.samples(short)
         shared = np.concatenate([np.zeros(0, bool), *(_unbits(x, n) for kind, j, x, n in sorted(told, key=lambda t: t[1]) if kind == 0)])
         block.strings(shared, length, short)

@@ -62,7 +62,9 @@ def test_difference_cover():
     assert d == set(range(repeats.PERIOD))
 
 
-def test_near_copies(docs, none):
+@pytest.mark.parametrize("rows_a_block", [1000, 2])
+def test_near_copies(docs, none, monkeypatch, rows_a_block):
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", rows_a_block)
     got = {(r.doc_id, r.class_id) for r in nearcopies.near_classes(docs).collect()}
     data = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
     k, s = nearcopies.elements([t for _, t in data])
