@@ -400,13 +400,69 @@ def class_summaries(spark, sf):
     return _fixture_chunks(spark).filter("file_path = 'Large.java' and chunk_type = 'class'").select("file_path", "content")
 
 
-@query()
+def _boundary_sql(column: str) -> str:
+    """Boundary lines by language; the lookahead of the pattern as a condition of its own."""
+    whens = " ".join(f"when '{k}' then regexp_matches({column}, '^\\s*(?:{'|'.join(v)})')" for k, v in text.BOUNDARY.items() if k in paths.LANGUAGES.values())
+    words = text.NOT_A_TYPE.removeprefix("(?!").removesuffix(")")
+    return f"(case language {whens} else regexp_matches({column}, '^\\s*(?:{'|'.join(text.BOUNDARY[''])})') end and not regexp_matches({column}, '^\\s*{words}'))"
+
+
+def _ends(rows: str) -> str:
+    """For chunks that begin at line a, whose fresh lines begin at f: the line e that ends them, and how many lines go over into the next."""
+    return f"""select file_path, a, f, e, e >= n or full_at >= n last, case when h = e - a then h else h + (h = 0 or p[e + 1] - p[e - h] <= {chunking.STRETCH} * ov)::bigint end back
+from (select *, len(list_filter(range(1, e - a + 1), lambda k: p[e + 1] - p[e - k + 1] <= ov)) h
+from (select *, case when full_at >= n then n else full_at + coalesce(list_position(b[full_at + 1:least(full_at + {chunking.LOOK_AHEAD}, n)], true), 0) end e
+from (select d.*, a, f, greatest(f + 1, len(list_filter(p, lambda x: x <= p[a + 1] + most)) - 1) full_at from ({rows}) t join doc d using (file_path))))"""
+
+
+#: Chunks by token budget: each ends at the line that breaks it, or at a boundary soon after, and goes on from an overlap. Those
+#: of more characters than a chunk may have are split by bytes. Prose has no structure, so that all files go this way.
+_CHUNKED = f"""with recursive {_corpus_sql()},
+src as (select file_path, ({LANG_SQL}) as language, content from corpus where regexp_matches(content, '[^ \\t\\n\\x0B\\f\\r]')),
+line as (select *, sum(tok) over w p, sum(strlen(l) + 1) over w s, {_boundary_sql('l')} b from (select *, len(regexp_extract_all(l, '\\w+|[^\\w\\s]')) tok
+  from (select file_path, language, unnest(string_split(content, chr(10))) l, generate_subscripts(string_split(content, chr(10)), 1) i from src)) window w as (partition by file_path order by i)),
+doc as (select file_path, list(l order by i) l, [0] || list(p::bigint order by i) p, [0] || list(s::bigint order by i) s, list(b order by i) b, count(*) n,
+  case when count(*) < 1000 then 300 when count(*) < 5000 then 200 else 150 end most, case when count(*) < 5000 then 20 else 21 end ov from line group by 1),
+c as ({_ends('select file_path, 0::bigint a, 0::bigint f from doc')}
+  union all ({_ends('select file_path, e - back a, e f from c where not last')})),
+body as (select c.*, array_to_string(l[a + 1:e], chr(10)) t from c join doc using (file_path)),
+big as (select file_path, a, f, e, least(10, greatest(1, (e - a) // 10)) over_ from body where length(t) > {chunking.CHUNK_BYTES}),
+r as (select file_path, a, e, f, over_, a lo, least(e, greatest(a + 1, len(list_filter(s, lambda x: x <= s[a + 1] + {chunking.CHUNK_BYTES})) - 1)) hi from big join doc using (file_path)
+  union all select file_path, a, e, f, over_, lo, least(e, greatest(lo + 1, len(list_filter(s, lambda x: x <= s[lo + 1] + {chunking.CHUNK_BYTES})) - 1)) hi
+  from (select file_path, a, e, f, over_, greatest(hi - over_, lo + 1) lo from r where hi < e) join doc using (file_path)),
+piece as (select r.*, array_to_string(l[lo + 1:hi], chr(10)) t from r join doc using (file_path)),
+long as (select file_path, a, f, lo, hi, t, [0] || list(upto::bigint order by i) s, count(*) n from (select file_path, a, f, lo, hi, t, i, sum(strlen(ch)) over (partition by file_path, a, f, lo order by i) upto
+  from (select file_path, a, f, lo, hi, t, unnest(string_split(t, '')) ch, generate_subscripts(string_split(t, ''), 1) i from piece where strlen(t) > {chunking.CHUNK_BYTES})) group by all),
+q as (select file_path, a, f, lo, 0::bigint x, len(list_filter(s, lambda y: y <= {chunking.CHUNK_BYTES})) - 1 z from long
+  union all select file_path, a, f, lo, z, len(list_filter(s, lambda y: y <= s[z + 1] + {chunking.CHUNK_BYTES})) - 1 from (select file_path, a, f, lo, z from q) join long using (file_path, a, f, lo) where z < n),
+found as (select file_path, a + 1 start_line, e end_line, t from body where length(t) <= {chunking.CHUNK_BYTES}
+  union all select file_path, lo + 1, hi, t from piece where strlen(t) <= {chunking.CHUNK_BYTES} and hi > f
+  union all select file_path, lo + 1, hi, t[x + 1:z] from q join long using (file_path, a, f, lo) where hi > f)
+select file_path, 'function' chunk_type, start_line::int start_line, end_line::int end_line, length(t)::int n_chars from found where regexp_matches(t, '[^ \\t\\n\\x0B\\f\\r]')"""
+
+
+@query(_CHUNKED)
 def token_chunks(spark, sf):
     c = corpus(spark, sf).withColumn("language", paths.language(F.col("file_path")))
     return chunking.chunk_files(c).select("file_path", "chunk_type", "start_line", "end_line", F.length("content").alias("n_chars"))
 
 
-@query()
+#: Lines by greedy byte budget, each piece from the overlap of the one before; a longer line by its characters.
+_SPLIT = f"""with recursive {_corpus_sql()},
+line as (select file_path, i, l, sum(strlen(l) + 1) over (partition by file_path order by i) upto from (select file_path, unnest(string_split(coalesce(content, ''), chr(10))) l, generate_subscripts(string_split(coalesce(content, ''), chr(10)), 1) i from corpus)),
+doc as (select file_path, list(l order by i) l, [0] || list(upto::bigint order by i) s, count(*) n, least(10, greatest(1, count(*) // 10)) back from line group by 1),
+r as (select file_path, 0::bigint lo, greatest(1, len(list_filter(s, lambda x: x <= 1000)) - 1) hi from doc
+  union all select d.file_path, t.lo, greatest(t.lo + 1, len(list_filter(d.s, lambda x: x <= d.s[t.lo + 1] + 1000)) - 1) from (select file_path, greatest(hi - back, lo + 1) lo from r join doc using (file_path) where hi < n) t join doc d using (file_path)),
+piece as (select file_path, lo, hi, array_to_string(l[lo + 1:hi], chr(10)) t from r join doc using (file_path)),
+long as (select file_path, lo, hi, [0] || list(upto::bigint order by i) s, count(*) n from (select file_path, lo, hi, i, sum(strlen(c)) over (partition by file_path, lo order by i) upto
+  from (select file_path, lo, hi, unnest(string_split(t, '')) c, generate_subscripts(string_split(t, ''), 1) i from piece where strlen(t) > 1000)) group by all),
+q as (select file_path, lo, 0::bigint a, len(list_filter(s, lambda x: x <= 1000)) - 1 b from long
+  union all select g.file_path, g.lo, t.b, len(list_filter(g.s, lambda x: x <= g.s[t.b + 1] + 1000)) - 1 from q t join long g using (file_path, lo) where t.b < g.n)
+select file_path, (lo + 1)::int start_line, hi::int end_line, length(t)::int n_chars from piece where strlen(t) <= 1000
+union all select file_path, (lo + 1)::int, hi::int, (b - a)::int from q join long using (file_path, lo)"""
+
+
+@query(_SPLIT)
 def split_large(spark, sf):
     return chunking.split_texts(corpus(spark, sf), 1000).select("file_path", "start_line", "end_line", F.length("content").alias("n_chars"))
 
