@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

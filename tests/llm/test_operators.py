@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from seamark.llm import decontaminate, langid, licenses, mixing, nearcopies, quality, repeats, token_files, urls, wrappers
 
