@@ -375,13 +375,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         for _, (b, keys, ids, code, w) in rows:
             pieces.append((b, np.cumsum(_unpack(keys, np.uint64), dtype=np.uint64), _unpack(code, f"u{w}"), np.frombuffer(zlib.decompress(ids), np.int64)))
         for (b, *_), late in zip(pieces, later_strings(pieces)):
-            yield b, (j, _bits(late), len(late))
+            yield b, (2, j, _bits(late), len(late))
 
     def finish(part):
-        (b, rows), (told, bits) = part
+        (b, rows), told = part
         block = known(rows, told)
         block.deal(n2)
-        late = np.concatenate([np.zeros(0, bool), *(_unbits(x, n) for _, x, n in sorted(bits))])
+        late = np.concatenate([np.zeros(0, bool), *(_unbits(x, n) for kind, j, x, n in sorted(told, key=lambda t: t[1]) if kind == 2)])
         # Every later string falls; the block's first one only if it occurs earlier elsewhere.
         falls = np.zeros(len(block.data), bool)
         falls[block.places] = True
@@ -416,13 +416,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     # either side, so empty ones are added.
     told_parts = sc.parallelize([], 1).map(lambda x: (x, x)).partitionBy(n_parts).getNumPartitions()
     blocks = blocks_of(plain)
-    samples = dealt(blocks.flatMap(send_samples).mapPartitions(lean), n1)
-    told = by_block(samples.mapPartitionsWithIndex(answer_samples))
-    strings = dealt(blocks.zip(told).flatMap(send_strings).mapPartitions(lean), n2)
-    bits = by_block(strings.mapPartitionsWithIndex(answer_strings).mapPartitions(lean))
-    # Both lists of answers of a block travel together, so that its text is zipped once.
-    both = told.zip(bits).map(lambda x: x)._reserialize(single)
+    samples = dealt(blocks.flatMap(send_samples).mapPartitions(lean), n1).mapPartitionsWithIndex(answer_samples)
+    strings = dealt(blocks.zip(by_block(samples)).flatMap(send_strings).mapPartitions(lean), n2)
+    strings = strings.mapPartitionsWithIndex(answer_strings).mapPartitions(lean)
+    # All answers of a block come in one list: each list zipped to the texts is a Python worker more in every task.
+    answers = by_block(samples.union(strings))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[f"`{f.name}`" for f in more])
-    done = blocks_of(whole).zip(both).flatMap(finish).mapPartitions(lean)
+    done = blocks_of(whole).zip(answers).flatMap(finish).mapPartitions(lean)
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else ""))
     return spark.createDataFrame(done, T.StructType(schema.fields + more), verifySchema=False)
