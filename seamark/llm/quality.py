@@ -32,11 +32,29 @@ TARGET_DOCS = 20_000
 
 def ngram_buckets(ws: Column, buckets: int = BUCKETS) -> Column:
     """Bucket of each word, then of each pair of neighbours."""
-    def both(h: Column) -> Column:
-        one = F.transform(h, lambda w: F.pmod(w, F.lit(buckets)).cast("int"))
-        two = F.transform(h, lambda w, i: F.pmod(F.xxhash64(w, F.get(h, i + 1)), F.lit(buckets)).cast("int"))
-        return F.concat(one, F.slice(two, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
-    return let(F.transform(ws, lambda w: F.xxhash64(w)), both)
+    of = _bucket(buckets)
+    return let(_hashes(ws), lambda h: F.concat(F.transform(h, of), F.transform(_pairs(h), of)))
+
+
+def _bucket(buckets: int):
+    return lambda w: F.pmod(w, F.lit(buckets)).cast("int")
+
+
+def _hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def _joined(a: Column, b: Column, skip: int, n: Column) -> Column:
+    """The first n of: hash of each of a and that of b which stands ``skip`` places later. (Looking
+    places up one by one would make several objects a word.)
+    """
+    both = F.zip_with(a, F.slice(b, F.lit(skip + 1), F.size(b)), lambda x, y: F.xxhash64(x, y))
+    return F.slice(both, F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def _pairs(h: Column) -> Column:
+    """Hash of each pair of neighbours, given the words' hashes."""
+    return _joined(h, h, 1, F.size(h) - 1)
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> list[float]:
@@ -59,43 +77,36 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targe
     return [math.log((target.get(i, 0) + PRIOR) / (like[i] + PRIOR)) for i in range(buckets)]
 
 
-def _covered(ws: Column, order: int) -> Column:
-    """Words that lie in a window of ``order`` words found twice or more in the text."""
-    none = F.array().cast("array<int>")
-
+def _covered(h: Column, pairs: Column) -> Column:
+    """Words that lie in a window of ``ORDER`` words found twice or more in the text, given the hashes of words and pairs."""
     def starts(hs: Column) -> Column:
-        order_ = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return let(order_, lambda pos: F.array_sort(F.transform(
+        order_ = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(order_, lambda pos: F.sort_array(F.transform(
             F.filter(pos, lambda x, j: F.coalesce(F.get(pos, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(pos, j + 1)["h"] == x["h"], F.lit(False))) , lambda x: x["i"])))
 
     def covered(at: Column) -> Column:
-        return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-order).alias("last")),
-                           lambda a, s: F.struct((a["n"] + F.least(F.lit(order), s - a["last"])).alias("n"), s.alias("last")),
+        return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-ORDER).alias("last")),
+                           lambda a, s: F.struct((a["n"] + F.least(F.lit(ORDER), s - a["last"])).alias("n"), s.alias("last")),
                            lambda a: a["n"])
 
-    def windows(h: Column) -> Column:
-        n = F.size(h)
-        at = F.when(n >= order, F.sequence(F.lit(0), n - order)).otherwise(none)
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(order)]))
-
-    keys = let(F.transform(ws, lambda w: F.xxhash64(w)), windows)
+    # two pairs and a word: ORDER words
+    keys = _joined(_joined(pairs, pairs, 2, F.size(h) - 3), h, 4, F.size(h) - ORDER + 1)
     return let(keys, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(covered(starts(hs))))
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; null: all 0.
+def base_counts(text: Column, hashes: Column, pairs: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text, given the hashes of its words and pairs; null: all 0.
 
     A line counts as repeated if it has a word and equals an earlier line.
     """
     t = F.coalesce(text, F.lit(""))
-    ws = words(t)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "n_words": F.size(ws).cast("long"),
+        "n_words": F.size(hashes).cast("long"),
         "word_chars": F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": _covered(ws, ORDER).cast("long"),
+        "n_repeat_words": _covered(hashes, pairs).cast("long"),
     }
 
 
@@ -109,11 +120,15 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
     """
     # one literal, folded by Catalyst, not an expression of thousands of nodes
     ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels, buckets)))), ",").cast("array<double>")
-    ws = words(F.col("text"))
-    grams = ngram_buckets(ws, buckets)
-    total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(ratios, b))
-    n = F.size(ws)
-    d = docs.select("doc_id", *[c.alias(k) for k, c in base_counts(F.col("text")).items()],
-                    F.when(n > 0, total / (2 * n - 1)).otherwise(0.0).alias("score"))
+    of, (h, pairs) = _bucket(buckets), map(F.col, ("h", "pairs"))
+
+    def add(start: Column, grams: Column) -> Column:
+        return F.aggregate(grams, start, lambda a, w: a + F.get(ratios, of(w)))
+
+    n = F.size(h)
+    # columns of their own: what follows reads 8 bytes a word and a pair, and no text is split once more for each use
+    d = docs.select("doc_id", "text", _hashes(words(F.col("text"))).alias("h")).withColumn("pairs", _pairs(h))
+    d = d.select("doc_id", *[c.alias(k) for k, c in base_counts(F.col("text"), h, pairs).items()],
+                 F.when(n > 0, add(add(F.lit(0.0), h), pairs) / (2 * n - 1)).otherwise(0.0).alias("score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))

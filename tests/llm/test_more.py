@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -231,3 +232,20 @@ def test_quality_on_held_out_documents(spark):
     some = docs.filter("doc_id < 30").select("doc_id", quality.ngram_buckets(common.words(F.col("text"))).alias("g")).collect()
     want = {r.doc_id: sum(ratios[b] for b in r.g) / len(r.g) if r.g else 0.0 for r in some}
     assert all(abs(r.score - want[r.doc_id]) < 1e-9 and r.kept == (not r.base_failed and r.score >= quality.THRESHOLD) for r in got.filter("doc_id < 30").collect())
+
+
+def test_quality_splits_a_text_once(spark):
+    """One regular-expression split a row; counts and scores of short and self-repeating texts as computed plainly."""
+    from .test_operators import brute_counts
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab" if n % 2 else "abcdefgh") for _ in range(n)) for n in range(24) for _ in range(3)] + [None, " \n "]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, len(texts), 3)], "doc_id long, quality int")
+    got = quality.judge(d, labels)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(r"[\x20\x09-\x0D]+, -1") == 1
+    ratios = quality.log_ratios(d, labels)
+    grams = {r.doc_id: r.g for r in d.select("doc_id", quality.ngram_buckets(common.words(F.col("text"))).alias("g")).collect()}
+    for r in got.collect():
+        n, g = len((texts[r.doc_id] or "").split()), grams[r.doc_id]
+        assert len(g) == max(0, 2 * n - 1) and abs(r.score - (sum(ratios[b] for b in g) / len(g) if g else 0)) < 1e-9
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(texts[r.doc_id]), texts[r.doc_id]
