@@ -193,11 +193,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, cls for every id of nodes: the least id of its connected component.
 
-    Least labels go along the edges, then to the label's own label, until nothing
-    changes; labels and changes live in written tables.
+    Labels begin as the least of a node and its neighbours. Least labels go along the edges,
+    then to the label's own label, until nothing changes; labels and changes live in written tables.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(nodes.select("id", F.col("id").alias("cls")), "labels")
+    near = both.groupBy("a").agg(F.min("b").alias("_m"))
+    labels = stored(nodes.join(near, nodes["id"] == near["a"], "left").select("id", F.least("id", F.coalesce("_m", "id")).alias("cls")), "labels")
     while True:
         seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("cls").alias("_m"))
         new = labels.join(seen, labels["id"] == seen["a"], "left").select("id", F.col("cls").alias("_old"), F.least("cls", F.coalesce("_m", "cls")).alias("cls"))
@@ -211,11 +212,13 @@ def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after the classes that links join have become one: components of the
-    classes, over the new links alone."""
+    classes, over the new links alone. Where these join none, labels itself."""
     def of(x):
         return labels.select(F.col("id").alias(x), F.col("cls").alias(f"_{x}"))
     edges = links.join(of("a"), "a").join(of("b"), "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
     edges = stored(edges, "joined")
+    if not edges.limit(1).count():
+        return labels
     new = classes(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), edges)
     new = new.select(F.col("id").alias("cls"), F.col("cls").alias("_new"))
     return stored(labels.join(new, "cls", "left").select("id", F.coalesce("_new", "cls").alias("cls")), "labels")
@@ -262,7 +265,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     pairs = stored(pairs.groupBy(F.col("x.id").alias("a")).agg(F.min("y.id").alias("b")), "pairs")
     links = stored(_verified(pairs, sets, similarity), "links")
     tried = pairs.select("a", "b")
-    labels = classes(stored(wanted, "nodes"), links)
+    labels = classes(wanted, links)
     for k in range(3):
         # Buckets that hold texts of more than one class; what is one class stays one.
         mine = slots.join(labels, "id")
@@ -273,6 +276,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
             whole = whole.select(F.col("id").alias("_w"), "keys", "wide")
             mine = mine.join(whole, (F.col("id") == F.col("_w")) & (F.expr("get(keys, band)") == F.col("key"))).drop("_w")
         slots = stored(mine, "apart")
+        if not slots.limit(1).count():
+            break
         mine, slots = slots, slots.drop("cls")
         if k < 2:  # a few texts of the bucket, different ones in each bucket and round
             mine = mine.select("band", "key", F.struct("id", "cls", *about, "wide").alias("x"))

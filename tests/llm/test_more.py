@@ -177,6 +177,26 @@ def test_near_copies_of_shared_ids(spark):
     assert sorted((str(r.doc_id) for r in left.collect())) == ["1", "3", "4", "5", "6", "None", "None"]
 
 
+def test_classes_write_no_more_tables_than_needed(spark, monkeypatch):
+    names = []
+    real = nearcopies.stored
+    monkeypatch.setattr(nearcopies, "stored", lambda df, name: (names.append(name), real(df, name))[1])
+    r = np.random.default_rng(8)
+    chain = [int(x) for x in r.permutation(20)]
+    nodes = spark.createDataFrame([(i,) for i in range(30)], "id long")
+    edges = spark.createDataFrame([*zip(chain[1:], chain[:-1]), (25, 22), (25, 27)], "a long, b long")
+    want = {i: 0 if i < 20 else 22 if i in (22, 25, 27) else i for i in range(30)}
+    assert {x.id: x.cls for x in nearcopies.classes(nodes, edges).collect()} == want
+    star = spark.createDataFrame([(i, 0) for i in range(1, 30)], "a long, b long")
+    names.clear()
+    assert {x.cls for x in nearcopies.classes(nodes, star).collect()} == {0} and names == ["edges", "labels", "labels"]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "id long, cls long")
+    names.clear()
+    assert sorted(tuple(x) for x in nearcopies._merged(labels, spark.createDataFrame([(2, 1)], "a long, b long")).select("id", "cls").collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert names == ["joined"]
+    assert sorted(tuple(x) for x in nearcopies._merged(labels, spark.createDataFrame([(2, 1), (4, 2)], "a long, b long")).select("id", "cls").collect()) == [(1, 1), (2, 1), (3, 3), (4, 1)]
+
+
 def test_mixing_of_any_columns(spark):
     text = "one two three"
     rows = [(i, text, "ab"[i % 2], "t", "s", "k", 1) for i in range(40)] + [(None, f"{text} {i}", None, "t", "s", "k", 1) for i in range(9)] + [(99, " ".join(["w"] * 50_000), "c", "t", "s", "k", 1), (98, None, "a", "", "", "", 0)]
