@@ -88,6 +88,23 @@ def steady(df: DataFrame, name: str) -> DataFrame:
     return df if nodes <= _STEADY and plan.analyzed().deterministic() else stored(df, name)
 
 
+#: Bytes of rows that go to a Python worker as one Arrow batch.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python workers in Arrow batches of about BATCH_BYTES at most.
+
+    The limit is one of the session and read when a job runs, so it is lowered for the session (a lower one
+    stays). Else a batch is a task's first 10,000 rows, held by the JVM outside its heap and by the worker.
+    """
+    spark = df.sparkSession
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 #: What a Python worker keeps for its next task: one thing at a time.
 _KEPT: dict = {}
 

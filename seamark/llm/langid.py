@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, lean, steps
+from .common import kept, lean, small_batches, steps
 
 #: The sample: at most so many documents a language, cut to so many characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 60_000
@@ -32,9 +32,8 @@ PIECE = 4096
 #: Most cells of the grid that pieces are laid out in.
 CELLS = 8_000_000
 #: Bytes of text that one vectorised step takes.
-STEP_BYTES = 6_000_000
+STEP_BYTES = 4_000_000
 _FAIL = np.int32(1 << 30)
-_WIDTH = np.int32(DENSE)
 #: Planes of Unicode that hold letters.
 _CHARS = 0x40000
 
@@ -42,53 +41,59 @@ _CHARS = 0x40000
 class Automaton:
     """Suffix automaton of codes as tables.
 
-    Entry state * DENSE + code of ``dense``: the next state where the phrase goes on; else the
-    state after starting a new phrase with that code, plus _FAIL. Codes from DENSE on are
-    in ``keys`` (state * alphabet + code, sorted) and ``next``. From the last state, ``begin``, every code
+    Entry state * width + code of ``dense``: the next state where the phrase goes on; else the
+    state after starting a new phrase with that code, plus _FAIL. The width is that of the alphabet, but
+    DENSE at most; codes from there on are in ``keys`` (state * alphabet + code, sorted) and ``next``. From the last state, ``begin``, every code
     starts a phrase; a code that isn't in the text is a phrase of its own and leads there.
     """
 
     def __init__(self, codes: np.ndarray, alphabet: int):
-        nxt: list[dict[int, int]] = [{}]
+        self.alphabet, self.width = alphabet, min(DENSE, alphabet)
+        # Transitions are written where they stay; 0 is none, as nothing leads to the first state.
+        table = np.zeros((2 * len(codes) + 2, self.width), np.int32)
+        flat, width = memoryview(table.reshape(-1)), self.width
+        rare: dict[int, dict[int, int]] = {}
         link, length, last = [-1], [0], 0
+
+        def get(s: int, c: int) -> int:
+            return flat[s * width + c] if c < width else rare.get(s, {}).get(c, 0)
+
+        def put(s: int, c: int, to: int) -> None:
+            if c < width:
+                flat[s * width + c] = to
+            else:
+                rare.setdefault(s, {})[c] = to
+
         for c in codes.tolist():
-            cur = len(nxt)
-            nxt.append({})
+            cur = len(link)
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = cur
+            while p != -1 and not get(p, c):
+                put(p, c, cur)
                 p = link[p]
             if p != -1:
-                q = nxt[p][c]
+                q = get(p, c)
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
-                    clone = len(nxt)
-                    nxt.append(nxt[q].copy())
+                    clone = len(link)
+                    table[clone] = table[q]
+                    if q in rare:
+                        rare[clone] = rare[q].copy()
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    while p != -1 and nxt[p].get(c) == q:
-                        nxt[p][c] = clone
+                    while p != -1 and get(p, c) == q:
+                        put(p, c, clone)
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.alphabet = alphabet
-        table = np.full((len(nxt), DENSE), -1, np.int32)
-        rare = []
-        for s, row in enumerate(nxt):
-            for c, t in row.items():
-                if c < DENSE:
-                    table[s, c] = t
-                else:
-                    rare.append((s * alphabet + c, t))
-        self.begin = len(nxt)
-        start = np.where(table[0] >= 0, table[0], self.begin)
-        table = np.concatenate([table, np.full((1, DENSE), -1, np.int32)])
-        self.dense = np.where(table >= 0, table, start[None, :] + _FAIL).astype(np.int32).ravel()
-        rare = np.array(sorted(rare), np.int64).reshape(-1, 2)
-        self.keys, self.next = rare[:, 0].copy(), rare[:, 1].astype(np.int32)
+        self.begin = len(link)
+        table = table[:self.begin + 1]
+        np.copyto(table, np.where(table[0] > 0, table[0], np.int32(self.begin)) + _FAIL, where=table == 0)
+        self.dense = table.reshape(-1)
+        pairs = np.array(sorted((s * alphabet + c, t) for s, row in rare.items() for c, t in row.items()), np.int64).reshape(-1, 2)
+        self.keys, self.next = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
 
     def _rare(self, key: np.ndarray) -> np.ndarray:
         """Next state of each key, -1 if none."""
@@ -98,10 +103,10 @@ class Automaton:
     def step(self, state: np.ndarray, code: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
         """The entries for states and codes; rare: where the code is DENSE or more."""
         if rare is None or not len(rare):
-            at = state * _WIDTH
+            at = state * np.int32(self.width)
             at += code
             return self.dense.take(at)
-        v = self.dense.take(state * DENSE + np.minimum(code, DENSE - 1))
+        v = self.dense.take(state * self.width + np.minimum(code, self.width - 1))
         c = code[rare].astype(np.int64)
         if len(self.keys):
             go, new = self._rare(state[rare] * np.int64(self.alphabet) + c), self._rare(c)
@@ -112,8 +117,8 @@ class Automaton:
 
     def one(self, state: int, code: int) -> tuple[bool, int]:
         """Whether a phrase begins with the code, and the next state."""
-        if code < DENSE:
-            v = int(self.dense[state * DENSE + code])
+        if code < self.width:
+            v = int(self.dense[state * self.width + code])
         else:
             v = int(self.step(np.array([state], np.int32), np.array([code]), np.zeros(1, np.int64))[0])
         return v >= _FAIL, v & int(_FAIL - 1)
@@ -277,6 +282,6 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None, names: tuple[
             lang, score = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    d = docs.select(*keep)
+    d = small_batches(docs.select(*keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + f", `{names[0]}` string, `{names[1]}` double"
     return d.mapInArrow(lambda batches: lean(run(batches), keep=True), schema)

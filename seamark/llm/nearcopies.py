@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, steps, stored
+from .common import lean, small_batches, steps, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at 0.8 shares no band with probability 0.0004.
@@ -157,7 +157,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, order: int =
             bits = np.concatenate([bits, np.bitwise_xor.reduce(wide.reshape(len(texts), -1, PARITY_WORDS), axis=1)], axis=1)
             yield pa.RecordBatch.from_arrays([ids, pa.array(digest, pa.binary()), pa.array(list(h.view(np.int64)), pa.list_(pa.int64())), pa.array(np.diff(start), pa.int64()),
                                               pa.array(list(bits.view(np.int64)), pa.list_(pa.int64())), pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], ["id", "digest", "keys", "n", "bits", "wide"])
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lambda batches: lean(run(batches)), "id long, digest binary, keys array<bigint>, n long, bits array<bigint>, wide array<bigint>")
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("id"), "text")).mapInArrow(lambda batches: lean(run(batches)), "id long, digest binary, keys array<bigint>, n long, bits array<bigint>, wide array<bigint>")
 
 
 def _sets(docs: DataFrame, order: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _sets(docs: DataFrame, order: int) -> DataFrame:
             key, start = elements(texts, order, cache)
             small = (key >> np.uint64(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(small[a:b]).tobytes() for a, b in zip(start[:-1], start[1:])], pa.binary())], ["id", "items"])
-    return docs.select("id", "text").mapInArrow(lambda batches: lean(run(batches)), "id long, items binary")
+    return small_batches(docs.select("id", "text")).mapInArrow(lambda batches: lean(run(batches)), "id long, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep))
-    return p.select("a", "b", "x", "y").mapInArrow(lambda batches: lean(run(batches)), "a long, b long")
+    return small_batches(p.select("a", "b", "x", "y")).mapInArrow(lambda batches: lean(run(batches)), "a long, b long")
 
 
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Slices of batches and what workers keep."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 
-from seamark.llm import common
+from seamark.llm import common, langid, nearcopies
 
 
 def test_steps_keep_all_rows_in_order():
@@ -24,3 +27,40 @@ def test_kept_is_one_thing_and_lean_drops_it():
     assert made == ["a", "b", "a"]
     assert list(common.lean(iter([1, 2]), keep=True)) == [1, 2] and common._KEPT
     assert list(common.lean(iter([1, 2]))) == [1, 2] and not common._KEPT
+
+
+def test_workers_get_small_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    s = spark.newSession()
+    d = s.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text", "'en' AS lang")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    whole = d.mapInArrow(sizes, "n long, size long").collect()
+    assert len(whole) == 1 and whole[0]["size"] > 3 * common.BATCH_BYTES
+    for use in (lambda: langid.identify(d, {"en": "some words"}), lambda: nearcopies.sketches(d)):
+        s.conf.unset(limit)
+        use()
+        got = d.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * common.BATCH_BYTES
+    s.conf.set(limit, "1m")  # a lower limit stays
+    langid.identify(d, {"en": "some words"})
+    assert s.conf.get(limit) == "1m"
+
+
+def test_automaton_is_built_where_it_stays():
+    letters = np.random.default_rng(3).zipf(1.4, 30_000) % 24
+    text = "".join(" " if i == 0 else chr(96 + int(i)) for i in letters)
+    tracemalloc.start()
+    try:
+        m = langid.Model({"aa": text})
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        a = langid.Automaton(m.codes(text), m.alphabet)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert len(a.dense) == (a.begin + 1) * m.alphabet and m.alphabet < langid.DENSE
+    assert peak < 3 * a.dense.nbytes
