@@ -41,7 +41,7 @@ LENGTH = 100
 STEP = 1 << 15
 #: Entries of a bucket to aim at, entries sorted at a time, and bytes of text of a block (a longer text is a block of its own).
 BUCKET, SORTED = 4_000_000, 500_000
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _HALF = np.uint64(32)

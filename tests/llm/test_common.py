@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from seamark.llm import common, langid, nearcopies
+from seamark.llm import common, langid, nearcopies, repeats
 
 
 def test_steps_keep_all_rows_in_order():
@@ -64,3 +64,20 @@ def test_automaton_is_built_where_it_stays():
         tracemalloc.stop()
     assert len(a.dense) == (a.begin + 1) * m.alphabet and m.alphabet < langid.DENSE
     assert peak < 3 * a.dense.nbytes
+
+
+def test_block_of_repeats_takes_little_memory():
+    part = "".join(chr(97 + int(i)) for i in np.random.default_rng(4).integers(0, 26, 1 << 16))
+    text = part * (repeats.BLOCK // len(part))
+    short = repeats.LENGTH - repeats.PERIOD + 1
+    tracemalloc.start()
+    try:
+        block = repeats._Block([(1, text)])
+        block.lay(repeats.LENGTH)
+        block.samples(short)
+        block.strings(np.zeros(len(block.sample_heads), bool), repeats.LENGTH, short)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(block.places) == len(text) - repeats.LENGTH + 1
+    assert peak < 110_000_000, peak
